@@ -26,6 +26,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", op.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup as op
+    from .scratch import Scratch
+
+    return op.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op4"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as op
 
@@ -46,5 +53,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.scan(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_packing, op6_chat_format, op7_secret_scan)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fm_quality as op
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = op.train(docs, labels.where(~op.held_out()))
+    predicted = (F.col("score") >= op.THRESHOLD).cast("int")
+    return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op10_quality)}
 ORACLES: dict[str, str] = {}
