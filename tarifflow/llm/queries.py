@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join as op
+    from .scratch import Scratch
+
+    return op.jaccard_components(documents(spark, sf_dir), Scratch(spark, "op1"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hd_language as op
 
@@ -63,5 +70,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op10_quality)}
 ORACLES: dict[str, str] = {}
