@@ -60,6 +60,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.scan(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate as op
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return op.find_leaks(documents(spark, sf_dir), benchmark).select("doc_id", "item_id", "score", F.lit(True).alias("contaminated"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fm_quality as op
 
@@ -70,5 +77,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op9_decontamination, op10_quality)}
 ORACLES: dict[str, str] = {}
