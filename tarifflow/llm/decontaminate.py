@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are runs of a-z, digits and bytes over 127 after lower-casing, so case and
+Words are runs of a-z, digits and non-ASCII characters after lower-casing, so case and
 punctuation don't matter.  The n-grams of the test items are counted in all documents;
 an item's n-grams that are much more frequent than its median one (chance phrases) are
 no seeds, which always leaves at least half of them, however often the item leaked.  A
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,11 @@ RARE_TIMES, RARE_PLUS = 4, 8
 _PLAIN = np.full(256, 32, np.uint8)
 for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
     _PLAIN[_c] = _c
-for _c in range(65, 91):
-    _PLAIN[_c] = _c + 32
 
 
 def plain_words(column: pa.Array):
     """The word hashes of each text."""
-    offsets, data = string_buffers(column)
+    offsets, data = string_buffers(pc.utf8_lower(column))
     for i, j in slices(offsets):
         part = offsets[i : j + 1] - offsets[i]
         words, _, _, at = word_spans(part, _PLAIN[data[offsets[i] : offsets[j]]])

@@ -25,6 +25,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.jaccard_components(documents(spark, sf_dir), Scratch(spark, "op1"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree_lm as op
+    from .scratch import Scratch
+
+    return op.score_texts(documents(spark, sf_dir), Scratch(spark, "op2"), held_out=op.held_out())
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hd_language as op
 
@@ -77,5 +84,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op9_decontamination, op10_quality)}
 ORACLES: dict[str, str] = {}
