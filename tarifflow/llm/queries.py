@@ -67,6 +67,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.scan(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as op
+    from .scratch import Scratch
+
+    return op.dedup(documents(spark, sf_dir), Scratch(spark, "op8"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as op
 
@@ -84,5 +91,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_quality)}
 ORACLES: dict[str, str] = {}
