@@ -28,8 +28,8 @@ def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def code_index(services: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """(code_key, service_id, …): every code of every service, the last one of equals."""
-    codes = F.explode(F.array_compact(F.array("code", "tarificator_code"))) if "tarificator_code" in services.columns else F.col("code")
-    rows = services.select(F.lower(F.trim(codes)).alias("code_key"), "service_id", "service_name", "category", ordinal)
+    codes = F.array(*(F.lower(F.trim(c)) for c in ("code", "tarificator_code") if c in services.columns))
+    rows = services.select(F.explode(codes).alias("code_key"), "service_id", "service_name", "category", ordinal)
     return last_by(rows, "code_key", ordinal)
 
 

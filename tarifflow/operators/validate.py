@@ -21,7 +21,7 @@ def nonresident_below(resident: Column, nonresident: Column) -> Column:
 
 
 def row_messages(as_of: Column) -> Column:
-    """Messages of an item in the order of the rules; `as_of` is today."""
+    """(rule, message) of each rule that an item breaks, in their order; `as_of` is today."""
     name = F.coalesce("service_name_raw", F.lit(""))
     positive = has_positive_price(F.col("price_resident_kzt"), F.col("price_nonresident_kzt"), F.col("price_original"))
     rules = (
@@ -30,13 +30,13 @@ def row_messages(as_of: Column) -> Column:
         (nonresident_below(F.col("price_resident_kzt"), F.col("price_nonresident_kzt")), F.concat(F.lit("nonresident < resident: "), name)),
         (F.coalesce(F.col("effective_date") > as_of, F.lit(False)), F.concat(F.lit("future price date: "), name)),
     )
-    return F.array_compact(F.array(*(F.when(rule, message) for rule, message in rules)))
+    return F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(k).alias("rule"), message.alias("message"))) for k, (rule, message) in enumerate(rules))))
 
 
 def row_issues(items: DataFrame, as_of: Column | None = None) -> DataFrame:
     """(doc_id, item_id, rule, message), a row per broken rule."""
     messages = row_messages(F.current_date() if as_of is None else as_of)
-    return items.select("doc_id", "item_id", F.posexplode(messages).alias("rule", "message"))
+    return items.select("doc_id", "item_id", F.explode(messages).alias("m")).select("doc_id", "item_id", "m.rule", "m.message")
 
 
 def duplicate_positions(items: DataFrame) -> DataFrame:
