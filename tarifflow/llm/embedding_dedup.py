@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .scratch import Scratch
 
 THRESHOLD = 0.95
@@ -116,19 +116,6 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n indices."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def near_duplicates(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     units = scratch.keep(unit_vectors(df, vec_id, embedding).distinct())

@@ -8,13 +8,17 @@ entries are multiplied:
 
 1. Columns that many documents of a task share are counted; the MAX_COMMON most frequent
    come last in the column order.  The order decides cost, never results.
-2. Tasks send their entries, packed in arrays by column block.  A block is sorted in
-   numpy; a column of one row is dropped, and pairs of rows whose sizes fit go on.
-3. A pair's overlap is accumulated over both whole rows and held against the bound.
+2. Tasks send their entries, packed in arrays by column block.  In a block, a column of
+   one row is dropped and one of up to CROWD rows multiplied out; products are summed over
+   blocks to the number of leading columns that a pair shares.  With c of them the whole
+   overlap is below c + ceil(t q), q the larger size; pairs that can't reach the bound go.
+3. The overlap of the others is accumulated over both whole rows.
+4. Columns of more rows aren't multiplied out.  First each row is held against one row of
+   the column.  Then columns whose rows are all in one component are done, and the rest
+   is multiplied in dense tiles: rows are dealt to blocks by the largest such column that
+   they have, blocks that share a column meet unless all their rows are linked already,
+   and a tile returns a spanning forest of its links.
 
-A column of many rows isn't multiplied out at once: each row is first held against one
-of the column (per size class), links are joined into components, and only rows of
-different components meet again, first in further such rounds and at last all with all.
 No link between different components is lost, and a group of near copies costs a few
 comparisons a row.
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .scratch import Scratch
 from .text import SHINGLE_WORDS, mix, shingle_sets
 
@@ -38,7 +42,7 @@ from .text import SHINGLE_WORDS, mix, shingle_sets
 TIMES, OF = 4, 5
 MAX_COMMON = 500_000
 COMMON_IN_TASK = 4
-ROUNDS = 2
+CROWD, TILE, ROUNDS = 32, 128, 2
 _BUFFER = 1_500_000
 
 
@@ -134,31 +138,47 @@ def entries(docs: DataFrame, text: str, words: int, common: np.ndarray, blocks:
 
 
 def _multiply(table: pa.Table) -> pa.Table:
-    """Of one block: pairs to compare (kind 0: a, b), and the entries of columns with pairs left (kind 1: column a, row b, size n)."""
+    """Of one block: pairs of rows with their products (kind 0: a, b, sizes n and m, count), and the entries of crowded columns (kind 1: column a, row b, size n)."""
     column, row, n = (np.concatenate([np.frombuffer(v, t) for v in table[k].to_pylist()]) for k, t in (("columns", np.uint64), ("rows", np.int64), ("sizes", np.int32)))
-    size_class = np.floor(np.log(n) / np.log(OF / TIMES)).astype(np.int32)
-    order = np.lexsort((row, size_class, column))
-    column, row, n, size_class = column[order], row[order], n[order], size_class[order]
+    order = np.lexsort((row, column))
+    column, row, n = column[order], row[order], n[order]
     new = np.ones(len(order), bool)
     new[1:] = (column[1:] != column[:-1]) | (row[1:] != row[:-1])
-    column, row, n, size_class = column[new], row[new], n[new], size_class[new]
-    starts = np.flatnonzero(np.diff(column, prepend=column[0] + np.uint64(1)) != 0)
+    column, row, n = column[new], row[new], n[new]
+    starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
     counts = np.diff(np.append(starts, len(column)))
-    # columns of two rows are multiplied out
-    two = starts[counts == 2]
-    fit = np.minimum(n[two], n[two + 1]) * OF >= np.maximum(n[two], n[two + 1]) * TIMES
-    a, b = row[two[fit]], row[two[fit] + 1]
-    # of more: each row meets the first of its size class
-    more = np.repeat(counts > 2, counts)
-    column, row, n, size_class = column[more], row[more], n[more], size_class[more]
-    if len(column):
-        first = np.ones(len(column), bool)
-        first[1:] = (column[1:] != column[:-1]) | (size_class[1:] != size_class[:-1])
-        centre = row[np.flatnonzero(first)][np.cumsum(first) - 1]
-        a, b = np.concatenate([a, centre[~first]]), np.concatenate([b, row[~first]])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(column), np.int32)])
-    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], column.view(np.int64)]), "b": np.concatenate([pairs[:, 1], row]), "n": np.concatenate([np.zeros(len(pairs), np.int32), n])})
+    crowded = np.repeat(counts > CROWD, counts)
+    left, right = [], []
+    for k in range(2, CROWD + 1):
+        at = starts[counts == k]
+        if len(at):
+            i, j = np.triu_indices(k, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            fit = np.minimum(n[a], n[b]) * OF >= np.maximum(n[a], n[b]) * TIMES
+            left.append(a[fit])
+            right.append(b[fit])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    order = np.lexsort((row[b], row[a]))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[a[1:]] != row[a[:-1]]) | (row[b[1:]] != row[b[:-1]])))) if len(a) else a
+    products = np.diff(np.append(first, len(a)))
+    a, b = a[first], b[first]
+    many, none = np.flatnonzero(crowded), np.zeros(int(crowded.sum()), np.int32)
+    return pa.table(
+        {
+            "kind": np.concatenate([np.zeros(len(a), np.int32), none + 1]),
+            "a": np.concatenate([row[a], column[many].view(np.int64)]),
+            "b": np.concatenate([row[b], row[many]]),
+            "n": np.concatenate([n[a], n[many]]),
+            "m": np.concatenate([n[b], none]),
+            "count": np.concatenate([products.astype(np.int64), none]),
+        }
+    )
+
+
+def links(common: np.ndarray | int, n, m):
+    """Whether an overlap of `common` links rows of sizes n and m."""
+    return common * (TIMES + OF) >= TIMES * (n + m)
 
 
 def _overlaps(batches):
@@ -170,41 +190,101 @@ def _overlaps(batches):
                 x, y = y, x
             at = np.searchsorted(y, x)
             common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(common * (TIMES + OF) >= TIMES * (len(x) + len(y)))
+            keep.append(links(common, len(x), len(y)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tile(table: pa.Table) -> pa.Table:
+    """Links between the two sides of a tile, or within its rows if it has one: a spanning forest."""
+    rows, side = table["row"].to_numpy(), table["side"].to_numpy()
+    sets = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    columns, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(at, minlength=len(columns)) > 1
+    place = np.cumsum(shared) - 1
+    use = shared[at]
+    matrix = np.zeros((len(sets), int(shared.sum())), np.float32)
+    matrix[owner[use], place[at[use]]] = 1
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(two) == 0:
+        two = one
+    overlap = np.rint(matrix[one] @ matrix[two].T).astype(np.int64)
+    i, j = np.nonzero(links(overlap, sizes[one][:, None], sizes[two][None, :]))
+    i, j = one[i], two[j]
+    root = forest(len(rows), i, j)
+    moved = np.flatnonzero(root != np.arange(len(rows)))
+    return pa.table({"a": rows[root[moved]], "b": rows[moved]})
+
+
 class _Join:
-    """State of one join: what has been compared, what is linked."""
+    """State of one join: whole rows, and what is linked."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, doc_id: str, text: str, words: int):
         self.scratch, self.docs, self.words = scratch, docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words
         self.rows = scratch.keep(document_rows(docs, doc_id, text, words))
         self.links: list[DataFrame] = []
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Overlaps of (a, b) over the whole rows; keeps those that link."""
-        pairs = self.scratch.keep(pairs)
-        wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        first = self.rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id")).join(wanted, "row", "left_semi")
+    def gather(self, wanted: DataFrame) -> None:
+        """The n-gram sets of the rows that may be compared."""
         words = self.words
+        first = self.rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id")).join(wanted, "row", "left_semi")
 
         def run(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), words)], pa.binary())], names=["row", "grams"])
 
         sets = self.docs.join(first, "doc_id").select("row", "text").mapInArrow(run, "row bigint, grams binary")
-        sets = self.scratch.keep(sets.dropDuplicates(["row"]))
-        left, right = sets.toDF("a", "grams_a"), sets.toDF("b", "grams_b")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
+        self.sets = self.scratch.keep(sets.dropDuplicates(["row"]))
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Overlaps of (a, b) over the whole rows; keeps those that link."""
+        both = pairs.join(self.sets.toDF("a", "grams_a"), "a").join(self.sets.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b")
         self.links.append(self.scratch.keep(both.mapInArrow(_overlaps, "a bigint, b bigint")))
-        self.scratch.drop(sets)
 
     def labels(self) -> DataFrame:
-        links = self.links[0]
+        found = self.links[0]
         for more in self.links[1:]:
-            links = links.unionByName(more)
-        return components(links, self.scratch).select(F.col("id").alias("row"), "component")
+            found = found.unionByName(more)
+        return components(found, self.scratch).select(F.col("id").alias("row"), "component")
+
+    def crowds(self, entries: DataFrame) -> None:
+        """Links of rows that share crowded columns (column, row, n)."""
+        for turn in range(ROUNDS + 1):
+            at = self.scratch.keep(entries.join(self.labels(), "row", "left").select("column", "row", "n", F.coalesce("component", "row").alias("component")))
+            # of columns whose rows are in more than one component
+            centre = F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "component")).alias("centre")
+            mixed = at.groupBy("column").agg(F.min("component").alias("x"), F.max("component").alias("y"), centre).where("x != y").select("column", "centre")
+            at = self.scratch.keep(at.join(mixed, "column"))
+            if at.isEmpty():
+                return
+            entries = at.select("column", "row", "n")
+            if turn < ROUNDS:
+                fits = F.least("n", "centre.n") * OF >= F.greatest("n", "centre.n") * TIMES
+                pairs = at.where("component != centre.component").where(fits).select(F.least("row", "centre.row").alias("a"), F.greatest("row", "centre.row").alias("b"))
+                self.compare(pairs.distinct())
+        self._tiles(at.select("column", "row", "component"))
+
+    def _tiles(self, entries: DataFrame) -> None:
+        """Rows are dealt to blocks by the largest of their columns, and blocks that share a column meet."""
+        sizes = entries.groupBy("column").agg(F.count("*").alias("size"))
+        top = F.max(F.struct("size", "column"))["column"].alias("top")
+        rows = self.scratch.keep(entries.join(sizes, "column").groupBy("row", "component").agg(top))
+        # the largest component of a column has blocks of its own, which needn't meet each other
+        counts = rows.groupBy("top", "component").agg(F.count("*").alias("count"))
+        largest = counts.groupBy("top").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all")).select("top", F.col("m.component").alias("largest"), F.col("m.count").alias("majors"), (F.col("all") - F.col("m.count")).alias("minors"))
+        major = F.col("component") == F.col("largest")
+        chunk = F.pmod(F.xxhash64("row"), F.ceil(F.when(major, F.col("majors")).otherwise(F.col("minors")) / TILE))
+        rows = self.scratch.keep(rows.join(largest, "top").select("row", "component", F.xxhash64("top", major, chunk).alias("block")))
+        mixed = rows.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        placed = entries.select("column", "row").join(rows.select("row", "block"), "row").select("column", "block").distinct().join(mixed, "block")
+        one, two = placed.toDF("i", "column", "x1", "y1"), placed.toDF("j", "column", "x2", "y2")
+        meet = one.join(two, "column").where("i <= j AND (x1 != y1 OR x2 != y2 OR x1 != x2)").select("i", "j").distinct()
+        meet = self.scratch.keep(meet)
+        first = rows.join(meet.withColumnRenamed("i", "block").withColumn("i", F.col("block")), "block").select("row", "i", "j", F.lit(0).alias("side"))
+        second = rows.join(meet.where("i != j").withColumnRenamed("j", "block").withColumn("j", F.col("block")), "block").select("row", "i", "j", F.lit(1).alias("side"))
+        dealt = first.unionByName(second).join(self.sets, "row")
+        self.links.append(self.scratch.keep(dealt.groupBy("i", "j").applyInArrow(_tile, "a bigint, b bigint")))
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -213,33 +293,19 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     total = join.rows.agg(F.sum("n")).first()[0] or 0
     blocks = int(max(16, total // (OF * 400_000)))
     common = common_columns(docs, text, words)
-    product = entries(docs, text, words, common, blocks).groupBy("block").applyInArrow(_multiply, "kind int, a bigint, b bigint, n int")
+    product = entries(docs, text, words, common, blocks).groupBy("block").applyInArrow(_multiply, "kind int, a bigint, b bigint, n int, m int, count bigint")
     product = scratch.keep(product)
-    tested = scratch.keep(product.where("kind = 0").select("a", "b").distinct())
-    join.compare(tested)
+    crowded = product.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("row"), "n")
+    hidden = crowded.groupBy("row").agg(F.count("*").alias("hidden"))  # leading columns that products don't show
+    pairs = product.where("kind = 0").groupBy("a", "b", "n", "m").agg(F.sum("count").alias("count"))
+    pairs = pairs.join(hidden.toDF("a", "hidden_a"), "a", "left").join(hidden.toDF("b", "hidden_b"), "b", "left")
+    shared = F.col("count") + F.least(F.coalesce("hidden_a", F.lit(0)), F.coalesce("hidden_b", F.lit(0)))
+    most = shared + F.ceil(F.greatest("n", "m") * TIMES / OF) - 1
+    pairs = scratch.keep(pairs.where(links(most, F.col("n"), F.col("m"))).select("a", "b"))
+    join.gather(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(crowded.select("row")).distinct())
+    join.compare(pairs)
+    join.crowds(crowded)
     labels = join.labels()
-    open_entries = product.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("row"), "n")
-    for turn in range(ROUNDS + 1):
-        # columns whose rows are in more than one component
-        at = open_entries.join(labels, "row", "left").select("column", "row", "n", F.coalesce("component", "row").alias("component"))
-        at = scratch.keep(at)
-        spread = at.groupBy("column").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", "component")).alias("centre")).where("x != y")
-        at = scratch.keep(at.join(spread.select("column", "centre"), "column"))
-        if at.isEmpty():
-            break
-        open_entries = at.select("column", "row", "n")
-        fits = F.least("n", "m") * OF >= F.greatest("n", "m") * TIMES
-        if turn < ROUNDS:
-            pairs = at.select("row", "n", "component", F.col("centre.row").alias("other"), F.col("centre.n").alias("m"), F.col("centre.component").alias("there"))
-        else:
-            again = at.select("column", F.col("row").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
-            pairs = at.join(again, "column").where("row < other")
-        pairs = pairs.where("component != there").where(fits).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            join.compare(pairs)
-            labels = join.labels()
-        tested = tested.unionByName(pairs)
     grouped = scratch.keep(join.rows.join(labels, "row", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "row")).alias("component")))
     smallest = grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
