@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are runs of a-z, digits and non-ASCII characters after lower-casing, so case and
+Words are runs of letters, digits and marks after lower-casing, so case and
 punctuation don't matter.  The n-grams of the test items are counted in all documents;
 an item's n-grams that are much more frequent than its median one (chance phrases) are
 no seeds, which always leaves at least half of them, however often the item leaked.  A
@@ -33,17 +33,15 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_SLICE_BYTES = 32 << 20
 RARE_TIMES, RARE_PLUS = 4, 8
 
-_PLAIN = np.full(256, 32, np.uint8)
-for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
-    _PLAIN[_c] = _c
+_BETWEEN_WORDS = r"[^\p{L}\p{N}\p{M}]+"
 
 
 def plain_words(column: pa.Array):
     """The word hashes of each text."""
-    offsets, data = string_buffers(pc.utf8_lower(column))
+    offsets, data = string_buffers(pc.replace_substring_regex(pc.utf8_lower(column), _BETWEEN_WORDS, " "))
     for i, j in slices(offsets):
         part = offsets[i : j + 1] - offsets[i]
-        words, _, _, at = word_spans(part, _PLAIN[data[offsets[i] : offsets[j]]])
+        words, _, _, at = word_spans(part, data[offsets[i] : offsets[j]])
         for a, b in zip(at[:-1], at[1:]):
             yield words[a:b]
 
