@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .text import crc_bucket, slices, string_buffers, word_spans
 
-BUCKETS, FACTORS, EPOCHS, BATCH = 1 << 16, 8, 12, 512
+BUCKETS, FACTORS, EPOCHS, BATCH, MIN_STEPS = 1 << 16, 8, 12, 512, 250
 MAX_TRAINING_ROWS = 12_000
 THRESHOLD = 0.7
 
@@ -109,7 +109,7 @@ def fit(rows: list[tuple], labels: np.ndarray, seed: int = 7) -> FactorisationMa
         return model
     state = [np.zeros((n, FACTORS + 1)), np.zeros((n, FACTORS + 1))]
     step = 0
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, MIN_STEPS // max(1, -(-len(rows) // BATCH)))):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), BATCH):
             take = order[a : a + BATCH]
