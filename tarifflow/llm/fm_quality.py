@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .text import crc_bucket, slices, string_buffers, word_spans
 
 BUCKETS, FACTORS, EPOCHS, BATCH, MIN_STEPS = 1 << 16, 8, 12, 512, 250
+#: Step size, and how much factors and weights shrink a step: interactions have to show again and again.
+RATE, SHRINK = 0.02, (1.0, 0.05)
 MAX_TRAINING_ROWS = 12_000
 THRESHOLD = 0.7
 
@@ -125,15 +127,13 @@ def fit(rows: list[tuple], labels: np.ndarray, seed: int = 7) -> FactorisationMa
             own = by[:, None] * (np.repeat(total, sizes, axis=0) - v)
             for f in range(FACTORS):
                 grad[:, f] = np.bincount(index, own[:, f], n)
-            grad[:, :FACTORS] += 1e-5 * model.factors
-            grad[:, FACTORS] += 1e-6 * model.weights
             step += 1
             state[0] += 0.1 * (grad - state[0])
             state[1] += 0.001 * (grad * grad - state[1])
-            move = 0.02 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-            model.factors -= move[:, :FACTORS]
-            model.weights -= move[:, FACTORS]
-            model.bias -= 0.02 * float(error.sum())
+            move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
+            model.factors -= move[:, :FACTORS] + RATE * SHRINK[0] * model.factors
+            model.weights -= move[:, FACTORS] + RATE * SHRINK[1] * model.weights
+            model.bias -= RATE * float(error.sum())
     return model
 
 
