@@ -29,6 +29,8 @@ give repeated results.  An empty table gives an empty result.  Extra columns are
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -234,8 +236,12 @@ class _Join:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), words)], pa.binary())], names=["row", "grams"])
 
-        sets = self.docs.join(first, "doc_id").select("row", "text").mapInArrow(run, "row bigint, grams binary")
-        self.sets = self.scratch.keep(sets.dropDuplicates(["row"]))
+        sets = self.docs.join(first, "doc_id").select("row", "text").mapInArrow(run, "row bigint, grams binary").dropDuplicates(["row"])
+        # bucketed by row: pairs come to the sets
+        spark, self.name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sets.write.bucketBy(buckets, "row").sortBy("row").option("path", f"{self.scratch.root}/sets").saveAsTable(self.name)
+        self.sets = spark.table(self.name)
 
     def compare(self, pairs: DataFrame) -> None:
         """Overlaps of (a, b) over the whole rows; keeps those that link."""
@@ -305,6 +311,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     join.gather(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(crowded.select("row")).distinct())
     join.compare(pairs)
     join.crowds(crowded)
+    docs.sparkSession.sql(f"DROP TABLE {join.name}")
     labels = join.labels()
     grouped = scratch.keep(join.rows.join(labels, "row", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "row")).alias("component")))
     smallest = grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
