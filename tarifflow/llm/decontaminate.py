@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: word pairs as seeds, counted, then Smith-Waterman alignment of words.
 
 Words are runs of letters, digits and marks after lower-casing, so case and
-punctuation don't matter.  The n-grams of the test items are counted in all documents;
-an item's n-grams that are much more frequent than its median one (chance phrases) are
-no seeds, which always leaves at least half of them, however often the item leaked.  A
-document and an item that share a seed are aligned around it: match +2, mismatch -1, gap
--1, local.  A score of at least `threshold` of a whole copy's is a leak.
+punctuation don't matter.  Alignment: match +2, mismatch -1, gap -1, local.  A score of
+at least `threshold` of a whole copy's is a leak.
+
+Seeds are pairs of words next to each other or one apart.  They miss no leak: an
+alignment of m matches to an item of n words costs at most 2m - 2tn, and each of its
+m - 1 steps from a match to the next that is longer than a seed costs 2 or more, so at
+least tn - 1 steps are seeds, and they lie within (3 - 2t)n words of the document.  Only
+where so many places of a document fall so close is it aligned with the item.  An item's
+pairs that many items share may be left out, and then count as if found.
 
 The benchmark is handled in slices of at most MAX_SLICE_BYTES, each broadcast after its
 size is known; every slice reads the documents again.
@@ -18,6 +22,7 @@ items too.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,63 +31,72 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import gram_hashes, slices, string_buffers, word_spans
+from .text import mix, slices, string_buffers, word_spans
 
-GRAM, MIN_WORDS, THRESHOLD = 4, 6, 0.5
+MIN_WORDS, THRESHOLD = 6, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_SLICE_BYTES = 32 << 20
 RARE_TIMES, RARE_PLUS = 4, 8
+SEED_STEPS = (1, 2)
+MAX_PLACES = 2_000_000
 
 _BETWEEN_WORDS = r"[^\p{L}\p{N}\p{M}]+"
 
 
+_FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
+
+
 def plain_words(column: pa.Array):
-    """The word hashes of each text."""
+    """(word hashes, first word of each text with the total last) of slices of the texts."""
     offsets, data = string_buffers(pc.replace_substring_regex(pc.utf8_lower(column), _BETWEEN_WORDS, " "))
     for i, j in slices(offsets):
         part = offsets[i : j + 1] - offsets[i]
         words, _, _, at = word_spans(part, data[offsets[i] : offsets[j]])
-        for a, b in zip(at[:-1], at[1:]):
-            yield words[a:b]
+        yield words, at
+
+
+def seeds(words: np.ndarray, step: int) -> np.ndarray:
+    """Hash of each word with the one `step` on, the same for all steps; across texts too."""
+    return mix(words[:-step] * _FIRST + words[step:] * _SECOND)
 
 
 @dataclass
 class Items:
-    """Test items of one slice: words, and their n-grams sorted with the places where they occur."""
+    """Test items of one slice: words, their seeds with the items that hold each, and what a leak must reach."""
 
     ids: list[int]
     words: list[np.ndarray]
-    grams: np.ndarray  # sorted distinct
-    at: np.ndarray  # first place of each gram, and the end
+    keys: np.ndarray  # sorted distinct
+    at: np.ndarray  # first place of each key, and the end
     item: np.ndarray  # by place
-    position: np.ndarray
+    needed: np.ndarray  # by item: places of a leak in a document
+    reach: np.ndarray  # by item: words that they lie within
+    table: np.ndarray  # whether any key starts with these bits
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> Items:
-        words = list(plain_words(pa.array(texts, pa.string())))
+    def of(cls, ids: list[int], texts: list[str | None], threshold: float = THRESHOLD) -> Items:
+        words = [w[a:b] for w, at in plain_words(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
         kept = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
         words = [words[k] for k in kept]
-        found = [gram_hashes(w, GRAM) for w in words]
-        item = np.repeat(np.arange(len(words)), [len(f) for f in found])
-        position = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, np.int64)
-        grams = np.concatenate([np.zeros(0, np.uint64), *found])
-        order = np.lexsort((position, item, grams))
-        distinct, first = np.unique(grams[order], return_index=True)
-        return cls([ids[k] for k in kept], words, distinct, np.append(first, len(grams)), item[order], position[order])
-
-    def rare(self, frequency: np.ndarray) -> Items:
-        """Only seeds: by frequency in the documents and among the items."""
-        by_place = np.repeat(np.arange(len(self.grams)), np.diff(self.at))
-        keep = np.zeros(len(self.item), bool)
-        for counts in (frequency, np.diff(self.at)):
-            value, ok = counts[by_place], np.zeros(len(self.item), bool)
-            order = np.argsort(self.item, kind="stable")
-            cuts = np.flatnonzero(np.diff(self.item[order], prepend=-1))
-            for places in np.split(order, cuts[1:]) if len(order) else ():
-                ok[places] = value[places] <= RARE_TIMES * np.median(value[places]) + RARE_PLUS
-            keep = ok if counts is frequency else keep & ok
-        grams, first = np.unique(by_place[keep], return_index=True)
-        return Items(self.ids, self.words, self.grams[grams], np.append(first, int(keep.sum())), self.item[keep], self.position[keep])
+        found = [np.unique(np.concatenate([seeds(w, d) for d in SEED_STEPS]), return_counts=True) for w in words]
+        needed = np.array([math.ceil(threshold * len(w) - 1 - 1e-9) for w in words], np.int64)
+        reach = np.array([math.ceil((3 - 2 * threshold) * len(w)) for w in words], np.int64)
+        _, held, shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in found)]), return_inverse=True, return_counts=True)
+        ends = np.cumsum([0, *(len(f) for f, _ in found)])
+        for k, (keys, times) in enumerate(found):
+            by_item = shared[held[ends[k] : ends[k + 1]]]
+            hot = np.flatnonzero(by_item > RARE_TIMES * np.median(by_item) + RARE_PLUS)
+            hot = hot[np.argsort(-by_item[hot], kind="stable")]
+            hot = hot[np.cumsum(times[hot]) <= needed[k] // 2]
+            needed[k] -= times[hot].sum()
+            found[k] = np.delete(keys, hot), None
+        item = np.repeat(np.arange(len(words)), [len(f) for f, _ in found])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in found)])
+        order = np.lexsort((item, keys))
+        distinct, first = np.unique(keys[order], return_index=True)
+        table = np.zeros(1 << 22, bool)
+        table[distinct >> np.uint64(42)] = True
+        return cls([ids[k] for k in kept], words, distinct, np.append(first, len(keys)), item[order], needed, reach, table)
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,29 +139,59 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return scores
 
 
-def passages(words: np.ndarray, items: Items, slack: float = 0.25):
-    """(item, first word, end) of each region of a text around seeds of an item."""
-    places, grams = lookup(items.grams, gram_hashes(words, GRAM))
-    if not len(places):
-        return
-    counts = items.at[grams + 1] - items.at[grams]
-    at = np.repeat(items.at[grams] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    item, start = items.item[at], np.repeat(places, counts) - items.position[at]
-    order = np.lexsort((start, item))
-    item, start = item[order], start[order]
+def passages(words: np.ndarray, at: np.ndarray, items: Items):
+    """(text, item, first word, end) of each region of a text where enough seeds of an item fall."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    places, keys = [], []
+    for step in SEED_STEPS:
+        hashes = seeds(words, step)
+        near = np.flatnonzero(items.table[hashes >> np.uint64(42)])
+        near = near[text[near] == text[near + step]]
+        hit, key = lookup(items.keys, hashes[near])
+        places.append(near[hit])
+        keys.append(key)
+    place, key = np.concatenate(places), np.concatenate(keys)
+    order = np.argsort(place, kind="stable")
+    place, key = place[order], key[order]
+    upto = np.append(0, np.cumsum(items.at[key + 1] - items.at[key]))
     a = 0
-    while a < len(item):
-        n = len(items.words[item[a]])
-        b = a + 1
-        while b < len(item) and item[b] == item[a] and start[b] - start[b - 1] <= n:
-            b += 1
-        room = int(n * slack) + 2
-        yield int(item[a]), max(0, int(start[a]) - room), min(len(words), int(start[b - 1]) + n + room)
+    while a < len(place):
+        # whole texts, of about MAX_PLACES places
+        b = int(np.searchsorted(upto, upto[a] + MAX_PLACES, side="right")) - 1
+        if b < len(place):
+            b = int(np.searchsorted(place, at[text[place[b]]]))
+            b = b if b > a else int(np.searchsorted(place, at[text[place[a]] + 1]))
+        yield from _regions(place[a:b], key[a:b], text, at, items)
         a = b
 
 
+def _regions(place: np.ndarray, key: np.ndarray, text: np.ndarray, at: np.ndarray, items: Items):
+    counts = items.at[key + 1] - items.at[key]
+    item = items.item[np.repeat(items.at[key] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+    # places ascend with texts, so a stable sort by item leaves each text's places together and in order
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], np.repeat(place, counts)[order]
+    new = np.append(True, (item[1:] != item[:-1]) | (place[1:] != place[:-1]))
+    item, place = item[new], place[new]
+    last = np.arange(len(place)) + items.needed[item] - 1
+    first = np.flatnonzero(last < len(place))
+    last = last[first]
+    good = (item[first] == item[last]) & (text[place[first]] == text[place[last]]) & (place[last] - place[first] <= items.reach[item[first]])
+    first, last = first[good], last[good]
+    if not len(first):
+        return
+    owner, which = text[place[first]], item[first]
+    start = np.maximum(at[owner], place[last] - items.reach[which])
+    end = np.minimum(at[owner + 1], place[first] + items.reach[which] + 3)
+    cut = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] > end[:-1])))
+    for i, j in zip(cut, np.append(cut[1:], len(first))):
+        yield int(owner[i]), int(which[i]), int(start[i]), int(end[j - 1])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (share of a whole copy's), first_word, end_word of the best passage: one row per document and item that it leaks."""
+    if threshold * MIN_WORDS <= 1:
+        raise ValueError("a leak of this threshold may be a single word")
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tests = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
@@ -158,26 +202,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k).orderBy("item_id", "text").toArrow()
         if rows.nbytes > 2 * MAX_SLICE_BYTES:
             raise ValueError(f"test items of one slice take {rows.nbytes} bytes")
-        found = _leaks_of(spark, texts, Items.of(rows["item_id"].to_pylist(), rows["text"].to_pylist()), threshold)
+        found = _leaks_of(spark, texts, Items.of(rows["item_id"].to_pylist(), rows["text"].to_pylist(), threshold), threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def _leaks_of(spark, texts: DataFrame, items: Items, threshold: float) -> DataFrame:
-    everything = spark.sparkContext.broadcast(items.grams)
-
-    def count(batches):
-        counts = np.zeros(len(everything.value), np.int64)
-        for batch in batches:
-            for words in plain_words(batch.column(1)):
-                counts[np.unique(lookup(everything.value, gram_hashes(words, GRAM))[1])] += 1
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], names=["gram", "docs"])
-
-    frequency = np.zeros(len(items.grams), np.int64)
-    for row in texts.mapInArrow(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-        frequency[row["gram"]] = row["docs"]
-    shared = spark.sparkContext.broadcast(items.rare(frequency))
+    shared = spark.sparkContext.broadcast(items)
 
     def search(batches):
         items = shared.value
@@ -194,12 +225,14 @@ def _leaks_of(spark, texts: DataFrame, items: Items, threshold: float) -> DataFr
                 waiting.clear()
                 pairs.clear()
 
-            for d, words in enumerate(plain_words(batch.column(1))):
-                for item, a, b in passages(words, items):
-                    waiting.append((d, item, a, b))
+            before = 0
+            for words, at in plain_words(batch.column(1)):
+                for d, item, a, b in passages(words, at, items):
+                    waiting.append((before + d, item, a - int(at[d]), b - int(at[d])))
                     pairs.append((items.words[item], words[a:b]))
-                if len(pairs) >= 512:
-                    aligned()
+                    if len(pairs) >= 512:
+                        aligned()
+                before += len(at) - 1
             aligned()
             rows = [(ids[d], items.ids[k], -s, a, b) for (d, k), (s, a, b) in sorted(best.items())]
             columns = list(zip(*rows)) if rows else [[]] * 5

@@ -327,6 +327,43 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_of_thickly_edited_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    stock = [word() for _ in range(12)]
+    items = [[word() for _ in range(24)] for _ in range(3)] + [[*stock, *(word() for _ in range(12))] for _ in range(40)]
+
+    def every(item, n):
+        return [word() if k % n == n - 1 else w for k, w in enumerate(item)]
+
+    copies = [c for item in items[:5] for c in (every(item, 3), every(item, 4), [w for x in item for w in (x, word())][:-1], [w for k, w in enumerate(item) if k % 3], every(item, 2))]
+    rows = [(k, " ".join([*(word() for _ in range(30)), *c, *(word() for _ in range(30))]), None, None, None) for k, c in enumerate(copies)]
+    rows += [(1000 + k, " ".join([*(word() for _ in range(9)), *stock, word()]), None, None, None) for k in range(300)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(frame(spark, rows), bench).collect()}
+    code = {w: k for k, w in enumerate({w for r in rows for w in r[1].split()} | {w for i in items for w in i})}
+    pairs = [(i, d) for i in range(len(items)) for d in range(len(rows)) if set(items[i]) & set(rows[d][1].split())]
+    scores = decontaminate.align([(np.array([code[w] for w in items[i]], np.uint64) + np.uint64(5), np.array([code[w] for w in rows[d][1].split()], np.uint64) + np.uint64(5)) for i, d in pairs])
+    want = {(rows[d][0], i): s / (2 * len(items[i])) for (i, d), s in zip(pairs, scores) if s >= len(items[i])}
+    assert got == want
+    assert {k // 5 for k, _ in want if k < 25} == {0, 1, 2, 3, 4} and all((5 * k + e, k) in want for k in range(5) for e in range(3))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=6, max_size=14), min_size=1, max_size=30), st.lists(st.lists(st.integers(0, 5), max_size=40), min_size=1, max_size=6))
+def test_seeds_miss_no_leak(items, docs):
+    said = lambda lists: [" ".join("uvwxyz"[k] for k in x) for x in lists]
+    held = decontaminate.Items.of(list(range(len(items))), said(items))
+    found = {}
+    for words, at in decontaminate.plain_words(pa.array(said(docs), pa.string())):
+        for d, k, a, b in decontaminate.passages(words, at, held):
+            found[d, k] = max(found.get((d, k), 0), slow_alignment(held.words[k].tolist(), words[a:b].tolist()))
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            whole = slow_alignment(item, doc)
+            assert whole < len(item) or found[d, k] == whole
+
+
 # -- quality
 
 
