@@ -2,8 +2,9 @@
 
 Entropy is kept by incremental counts while a window slides over candidate strings:
 with counts n_c of a window of w characters, H = log2(w) - sum(n_c log2 n_c)/w, so one
-step changes two terms.  Allow-listed candidates (addresses, repeated or sequential
-filler, plain words) are not reported; matches of the fixed patterns always stay.
+step changes two terms.  Allow-listed parts of candidates (addresses, repeated or
+sequential filler, plain words) are not reported, what is joined to them is; matches of
+the fixed patterns always stay.
 
 Defined results: null and empty texts have no spans.  Repeated rows give repeated
 results.  Extra columns are carried through `scan` and may be named like the results,
@@ -27,13 +28,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEY_PARTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-#: character class -> (members, window, bits that a window must reach)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: character class -> (members, bits that a window must reach by its size)
 CLASSES = {
-    "entropy_hex": (frozenset("0123456789abcdefABCDEF"), 24, 3.1),
-    "entropy_base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 3.9),
+    "entropy_hex": (frozenset("0123456789abcdefABCDEF"), {24: 3.1, 16: 2.6}),
+    "entropy_base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), {24: 3.9, 16: 3.0}),
 }
-ALLOWED = re.compile(r"(?i)^(?:https?|www|file|example|placeholder|changeme|lorem)|(.)\1{5}|0123456789|abcdefghij|/[a-z]+/[a-z]+/")
+SHORTEST = 16
+#: Parts of candidates: filler, paths, and what stands between / = _ - and is a plain word or starts like an address or example.
+ALLOWED = re.compile(r"(.)\1{5,}|(?i:0123456789|abcdefghij|/[a-z]+/[a-z]+(?=/))|(?:^|(?<=[/=_-]))(?:(?i:https?|www|file|example|placeholder|changeme|lorem)[^/=_-]*|[A-Z]?[a-z]{4,}|[A-Z]{4,})(?:[/=_-]+|$)")
+#: Words in camel case; more of the letters are in them, and more are vowels, than in keys.
+WORDS, WORDY, VOWELS = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0.8, 0.27
 KINDS = ("assign", "access", "hex", *CLASSES)
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _LOGS = [0.0, *(n * math.log2(n) for n in range(1, 129))]
@@ -69,9 +74,34 @@ def window_spans(text: str, members: frozenset, window: int, bits: float) -> Ite
 
 
 def mixed(text: str) -> bool:
-    """Keys mix digits with letters; words and numbers don't."""
-    digits = sum(c.isdigit() for c in text)
-    return digits >= 3 and any(c.isalpha() for c in text)
+    """Keys mix digits or cases within their letters; words and numbers don't."""
+    digits, letters = sum(c.isdigit() for c in text), sum(c.isalpha() for c in text)
+    if digits >= 3 or not letters:
+        return letters > 0
+    if text.upper() == text or text.lower() == text:
+        return digits > 0
+    return sum(len(w) for w in WORDS.findall(text)) <= WORDY * letters or sum(c in "aeiouAEIOU" for c in text) < VOWELS * letters
+
+
+def parts(word: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of what the allow-list leaves of a candidate."""
+    at = 0
+    for m in ALLOWED.finditer(word):
+        yield at, word[at : m.start()]
+        at = m.end()
+    yield at, word[at:]
+
+
+def entropy_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of a class's windows of all sizes, joined where they overlap."""
+    for kind, (members, sizes) in CLASSES.items():
+        a, b = 0, 0
+        for start, end in sorted(s for window, bits in sizes.items() for s in window_spans(text, members, window, bits)):
+            if start > b and b:
+                yield kind, a, b
+            a, b = (a if b and start <= b else start), max(b, end)
+        if b:
+            yield kind, a, b
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
@@ -86,13 +116,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if not mixed(word) or ALLOWED.search(word):
-            continue
-        for kind, (members, window, bits) in CLASSES.items():
-            for a, b in window_spans(word, members, window, bits):
-                if mixed(word[a:b]):
-                    found.append((kind, m.start() + a, m.start() + b))
+        for at, part in parts(m.group()):
+            if len(part) < SHORTEST or not mixed(part):
+                continue
+            for kind, a, b in entropy_spans(part):
+                if mixed(part[a:b]):
+                    found.append((kind, m.start() + at + a, m.start() + at + b))
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 

@@ -291,6 +291,27 @@ def test_incremental_entropy(candidate, window, bits):
     assert got == want
 
 
+KEYS = {"mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "lower": "abcdefghijklmnopqrstuvwxyz0123456789"}
+
+
+@pytest.mark.parametrize("alphabet", KEYS)
+@pytest.mark.parametrize("size", [16, 24, 32, 40])
+def test_random_keys_are_found(alphabet, size):
+    rng = random.Random(size)
+    for before in ("key ", "file_key=", "https://h.io/api/hooks/", "------"):
+        texts = [f"{before}{''.join(rng.choice(KEYS[alphabet]) for _ in range(size))} end" for _ in range(500)]
+        assert sum(bool(secret_scan.spans_of(t)) for t in texts) >= 0.98 * len(texts), before
+
+
+def test_allowed_parts_hide_nothing_else():
+    key = "q8Zr2Lx9Vb4Nw7Ty1Kd6Hs3Pf5Gj0Mc"
+    for before in ("file_key=", "https://h.io/api/hooks/", "------", "placeholder-", "0123456789/"):
+        text = f"{before}{key}"
+        assert key not in secret_scan.redact(text, secret_scan.spans_of(text)), before
+    for clean in ("JavaScriptObjectNotation", "some-long-hyphenated-slug-name-2024", "https://example.com/some/long/path/to/page-12", "CONFIG_MAX_RETRY_COUNT_2", "1234567890-0987654321"):
+        assert secret_scan.spans_of(clean) == [], clean
+
+
 # -- leaks
 
 
