@@ -1,9 +1,9 @@
 """Matching of raw names with a service catalogue: code, exact name, then similarity.
 
 Names are normalised once each.  Code and exact matches are equi-joins with the
-catalogue; only distinct names without either are compared with its names.  A catalogue
-of at most `broadcast_bytes` is compared whole; a larger one, or one that an option asks
-for, through the pairs that share a trigram.
+catalogue; only distinct names without either are compared with its names, all with all.
+A catalogue of at most `broadcast_bytes` is broadcast for that, a larger one dealt out in
+parts of about that size.  Only an option restricts it to the pairs that share a trigram.
 """
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ def top_candidates(scored: DataFrame, query: str = "query", choice: str = "choic
 
 
 def candidate_pairs(queries: DataFrame, choices: DataFrame, broadcast_bytes: int = 8 << 20, blocked: bool | None = None) -> DataFrame:
-    """(query, choice, …) pairs to score: all with all, or those that share a trigram."""
-    if blocked is None:
-        size = choices.agg(F.sum(F.octet_length("choice") + 64)).first()[0] or 0
-        blocked = size > broadcast_bytes
+    """(query, choice, …) pairs to score: all with all, or if `blocked` those that share a trigram."""
     if not blocked:
-        return queries.crossJoin(F.broadcast(choices))
+        size = choices.agg(F.sum(F.octet_length("choice") + 64)).first()[0] or 0
+        if size <= broadcast_bytes:
+            return queries.crossJoin(F.broadcast(choices))
+        return queries.crossJoin(choices.repartition(-(-size // max(broadcast_bytes, 1 << 20)), "choice"))
     grams = lambda column: F.explode(F.array_distinct(S.grams(F.col(column))))
     shared = queries.select("query", grams("query").alias("gram")).join(choices.select("choice", grams("choice").alias("gram")), "gram").select("query", "choice").distinct()
     return shared.join(choices, "choice")

@@ -108,6 +108,14 @@ def test_blocked_candidates_are_those_that_share_a_trigram(spark):
     assert [tuple(r) for r in matching.candidate_pairs(queries, choices, blocked=True).collect()] == [("abcd", "abc")]
 
 
+def test_large_catalogues_keep_all_pairs(spark):
+    queries = spark.createDataFrame([("abc",), ("xyz",)], "query string")
+    choices = spark.createDataFrame([("abcd",), ("q",)], "choice string")
+    want = sorted((q, c) for q in ("abc", "xyz") for c in ("abcd", "q"))
+    for size in (1, 8 << 20):
+        assert sorted(tuple(r) for r in matching.candidate_pairs(queries, choices, broadcast_bytes=size).collect()) == want
+
+
 def test_active_once_exempts_nulls(spark):
     rows = [(1, "p", "x", dt.date(2025, 1, 1), True), (2, "p", "x", dt.date(2025, 1, 1), True), (3, "p", "x", None, True), (4, "p", "x", None, True), (5, "p", "x", dt.date(2025, 1, 1), False)]
     items = spark.createDataFrame(rows, "item_id int, partner_id string, service_name_raw string, effective_date date, is_active boolean")
