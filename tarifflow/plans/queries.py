@@ -185,6 +185,11 @@ def raw_content(spark, sf_dir):
     return L.raw_content(document_lines(spark, sf_dir), most=5)
 
 
+@query(f"WITH {_LINES} SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS raw_content FROM lines WHERE line_no <= 3000 GROUP BY doc_id")
+def whole_raw_content(spark, sf_dir):
+    return L.raw_content(document_lines(spark, sf_dir))
+
+
 @query(f"""WITH {_LINES} SELECT doc_id, coalesce(length(trim(string_agg(trim(text), ' ' ORDER BY line_no) FILTER (line_no <= 2))), 0) >= 80 AS enough FROM lines GROUP BY doc_id""")
 def text_probe(spark, sf_dir):
     return L.has_enough_text(document_lines(spark, sf_dir), page="line_no")

@@ -51,6 +51,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_whole_raw_content_keeps_what_the_reference_keeps(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()}
+    got = {r["doc_id"]: r["raw_content"] for r in QUERIES["whole_raw_content"](spark, DATA).collect()}
+    assert max(t.count("\n") for t in texts.values()) >= 5
+    assert got == {k: "\n".join(t.split("\n")[:3000]) for k, t in texts.items()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
