@@ -6,6 +6,7 @@ Input rows are (document, sheet, row_pos from 0, cells array<string>).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money as M
@@ -122,3 +123,16 @@ def raw_content(rows: DataFrame, document: str = "doc_id", per_sheet: int = 30)
     sheets = kept.groupBy(document, "sheet").agg(F.array_sort(F.collect_list(F.struct("row_pos", line.alias("t")))).alias("l"))
     text = F.concat(F.lit("# "), F.coalesce("sheet", F.lit("")), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"))
     return sheets.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", text.alias("t")))), lambda x: x["t"]), "\n").alias("raw_content"))
+
+
+def document_content(paragraphs: DataFrame, rows: DataFrame, document: str = "doc_id", most: int = 500) -> DataFrame:
+    """All paragraphs of each word-processor document, then the first rows of its tables, as one text."""
+    said = paragraphs.select(document, F.lit(0).alias("part"), F.lit(0).alias("table"), F.col("line_no").alias("place"), X.clean_text(F.col("text")).alias("t")).where("t != ''")
+    # cells are cleaned at once, kept apart by a character that cleaning leaves alone
+    apart = X.clean_text(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\ue000"))
+    number = F.regexp_extract("sheet", "[0-9]+$", 0).cast("int")
+    listed = rows.select(document, F.lit(1).alias("part"), number.alias("table"), F.col("row_pos").alias("place"), F.regexp_replace(apart, " ?\ue000 ?", " | ").alias("t"))
+    nth = F.row_number().over(W.partitionBy(document).orderBy("table", "place"))
+    listed = listed.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    lines = said.unionByName(listed).groupBy(document).agg(F.array_sort(F.collect_list(F.struct("part", "table", "place", "t"))).alias("l"))
+    return lines.select(document, F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("raw_content"))

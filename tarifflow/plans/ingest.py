@@ -64,7 +64,11 @@ def ingest_files(files: DataFrame, options: Options = Options(), as_of: Column |
     none = F.coalesce(*(F.when(F.col("file_format") == k, v) for k, v in NO_ROWS.items()))
     errors = errors.unionByName(empty.select("doc_id", none.alias("error")))
     found = V.issues(items, as_of).unionByName(errors.select("doc_id", F.lit("error").alias("kind"), F.lit(0).cast("bigint").alias("ordinal"), F.col("error").alias("message")))
-    raw = T.raw_content(cells.where("error IS NULL")).unionByName(L.raw_content(lines.where("error IS NULL")))
+    word = about.where("file_format = 'docx'").select("doc_id")
+    paragraphs = office.read_lines(files, office.paragraph_lines, formats=("docx",)).where("error IS NULL")
+    read_cells = cells.where("error IS NULL")
+    sheets = T.raw_content(read_cells.join(word, "doc_id", "left_anti"))
+    raw = sheets.unionByName(T.document_content(paragraphs, read_cells.join(word, "doc_id", "left_semi"))).unionByName(L.raw_content(lines.where("error IS NULL")))
     documents = about.select("doc_id", "partner_id", F.col("name").alias("file_name"), "file_format", "effective_date", F.current_timestamp().alias("parsed_at")).join(raw, "doc_id", "left")
     documents = S.conform(V.rolled_up(documents, found), S.DOCUMENT)
     now = F.current_timestamp()

@@ -98,6 +98,11 @@ def document_paragraphs(content: bytes) -> list[str]:
     return [_paragraph(p) for p in _body(content).findall(f"{_WORD}p")]
 
 
+def paragraph_lines(content: bytes) -> Iterator[tuple[int, str]]:
+    """(1, paragraph as one line) for `read_lines`."""
+    return ((1, " ".join(p.split())) for p in document_paragraphs(content))
+
+
 READERS = {"xlsx": workbook_rows, "docx": document_rows}
 
 

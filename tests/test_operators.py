@@ -175,6 +175,20 @@ def folder(tmp_path):
     return tmp_path
 
 
+def test_word_documents_keep_their_text(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    said = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = lambda n, name: "<w:tbl>" + "".join(f"<w:tr><w:tc>{said(f'{name} {k}')}</w:tc><w:tc><w:p/></w:tc><w:tc>{said('é  5')}</w:tc></w:tr>" for k in range(n)) + "</w:tbl>"
+    bodies = {"words.docx": said("first") + said(" ") + said("second<w:br/> line".replace("<w:br/>", "</w:t><w:br/><w:t>")), "table.docx": said("before") + table(40, "a") + said("after"), "long.docx": "".join(table(60, f"t{k}") for k in range(11))}
+    for name, body in bodies.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    got = {r["file_name"]: r["raw_content"] for r in ingest.ingest(spark, str(tmp_path))["documents"].collect()}
+    assert got["words.docx"] == "first\nsecond line"
+    assert got["table.docx"].split("\n") == ["before", "after", *(f"a {k} |  | é 5" for k in range(40))]
+    assert got["long.docx"].split("\n") == [f"t{k // 60} {k % 60} |  | é 5" for k in range(500)]
+
+
 def test_ingest(spark, folder):
     got = ingest.ingest(spark, str(folder / "in"), ingest.Options(text_extractor=lambda content: [(1, content.decode())]))
     documents = {r["file_name"]: r for r in got["documents"].collect()}
