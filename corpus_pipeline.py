@@ -7,6 +7,7 @@ of documents.  Empty tables pass through every stage.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from tarifflow.llm.scratch import Scratch
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without text or without a letter go."""
-    prototypes = hd_language.train(docs.where(~hd_language.held_out()))
+    # where no language can be learned, any will do: only a letter counts
+    prototypes = hd_language.train(docs.where(~hd_language.held_out())) or {"any": np.ones(hd_language.DIMENSIONS)}
     named = hd_language.predict(docs, prototypes, prediction="_language", score="_cosine")
     return named.where(F.col("_language") != hd_language.UNKNOWN).select(*docs.columns)
 

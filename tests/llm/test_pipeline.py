@@ -46,3 +46,9 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_unlabelled_corpus_is_kept(spark):
+    rows = [(1, "the garden of the old house", None, "a", 10), (2, "12 !", None, "a", 4), (3, None, None, "a", None), (None, "é", None, "a", 1)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCUMENTS), DATA).collect()
+    assert {r["doc_id"] for r in got} == {1, None}
