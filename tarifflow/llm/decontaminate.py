@@ -31,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix, slices, string_buffers, word_spans
+from .text import mix, pieces, slices, string_buffers, word_spans
 
 MIN_WORDS, THRESHOLD = 6, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_SLICE_BYTES = 32 << 20
 RARE_TIMES, RARE_PLUS = 4, 8
 SEED_STEPS = (1, 2)
-MAX_PLACES = 2_000_000
+MAX_PLACES = 400_000
 
 _BETWEEN_WORDS = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -212,7 +212,7 @@ def _leaks_of(spark, texts: DataFrame, items: Items, threshold: float) -> DataFr
 
     def search(batches):
         items = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1)):
             ids = batch.column(0).to_pylist()
             waiting, pairs = [], []
             best: dict[tuple, tuple] = {}

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import crc_bucket
+from .text import crc_bucket, pieces
 
 DIMENSIONS = 1024
-SLICE_CHARS = 1 << 19
+SLICE_BYTES, GRAMS, ROWS = 1 << 18, 2048, 128
 UNKNOWN = "und"
 #: Prototypes are broadcast; more distinct languages than this is an error, not a larger broadcast.
 MAX_LANGUAGES = 4096
@@ -79,40 +79,29 @@ def bundles(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.n
     letters = np.stack([_letter_vector(int(c), dimensions) for c in alphabet])
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for a in range(0, len(active), 8192):
-        part = active[a : a + 8192]
+    for a in range(0, len(active), GRAMS):
+        part = active[a : a + GRAMS]
         vectors = (first[part // (k * k)] * second[part // k % k] * letters[part % k]).astype(np.float32)
         inside = (grams >= a) & (grams < a + len(part))
-        for b in range(0, len(texts), 512):
-            here = inside & (owner >= b) & (owner < b + 512) if len(texts) > 512 else inside
-            n = min(512, len(texts) - b)
+        for b in range(0, len(texts), ROWS):
+            here = inside & (owner >= b) & (owner < b + ROWS) if len(texts) > ROWS else inside
+            n = min(ROWS, len(texts) - b)
             counts = np.bincount((owner[here] - b) * len(part) + grams[here] - a, minlength=n * len(part)).reshape(n, len(part))
             out[b : b + n] += counts.astype(np.float32) @ vectors
     return out, has
 
 
-def _blocks(texts: list[str | None]):
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and j - i < 512 and (j == i or n + len(texts[j] or "") <= SLICE_CHARS):
-            n += len(texts[j] or "")
-            j += 1
-        yield i, j
-        i = j
-
-
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes by language, bundled from every row whose language is known."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
-            for i, j in _blocks(texts):
-                vectors, _ = bundles(texts[i:j], dimensions)
-                for name in set(langs[i:j]):
-                    total = vectors[langs[i:j] == name].sum(axis=0, dtype=np.float64)
+            for piece in pieces(batch, 0, SLICE_BYTES):
+                vectors, _ = bundles(piece.column(0).to_pylist(), dimensions)
+                langs = np.array(piece.column(1).to_pylist(), dtype=object)
+                for name in set(langs):
+                    total = vectors[langs == name].sum(axis=0, dtype=np.float64)
                     sums[name] = sums.get(name, 0) + np.rint(total).astype(np.int64)
         for name, vector in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], names=["lang", "dim", "value"])
@@ -134,15 +123,15 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     schema = T.StructType([*kept, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, b.schema.get_field_index(text), SLICE_BYTES)):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             best, cosine = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i, j in _blocks(texts) if names else ():
-                vectors, has = bundles(texts[i:j], dimensions)
+            if names:
+                vectors, has = bundles(texts, dimensions)
                 near = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
                 top = near.argmax(axis=1)
                 for k in np.flatnonzero(has):
-                    best[i + k], cosine[i + k] = names[top[k]], min(1.0, max(0.0, float(near[k, top[k]])))
+                    best[k], cosine[k] = names[top[k]], min(1.0, max(0.0, float(near[k, top[k]])))
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(cosine)], names=schema.names)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .text import slices, string_buffers, word_spans
 
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 4096
-MAX_CACHED_WORDS = 2_000_000
+MAX_CACHED_WORDS = 1_000_000
 _LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 _WORD_END = "</w>"
 

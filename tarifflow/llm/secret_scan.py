@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .text import pieces
+
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -151,7 +153,7 @@ def scan(df: DataFrame, text: str = "text", spans: str = "secret_spans", redacte
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, b.schema.get_field_index(text))):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = [spans_of(t) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]

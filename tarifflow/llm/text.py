@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 2 << 20
+#: Arrays over a slice take about 50 bytes for each of its bytes.
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,6 +65,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def pieces(batch: pa.RecordBatch, text: int | str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows with about `most` bytes of text each, so that what a task makes of them is bounded."""
+    offsets, _ = string_buffers(batch.column(text))
+    for i, j in slices(offsets, most):
+        yield batch.slice(i, j - i)
+
+
 def word_spans(offsets: np.ndarray, data: np.ndarray, more: np.ndarray | None = None):
     """(hash, first byte and size of each word, first word of each text with the total last).
 
