@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set and driver and executors are one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -25,16 +28,34 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def _path(self) -> str:
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        return f"{self.root}/{self.count}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self._path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """A table dealt by `column`, so that joins on it bring the other side here. Has to be dropped: it is listed in the catalogue."""
+        path, name = self._path(), f"scratch_{uuid.uuid4().hex}"
+        buckets = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        try:
+            df.write.bucketBy(min(buckets, 100_000), column).sortBy(column).option("path", path).saveAsTable(name)
+        except BaseException:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            raise
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_name = path, name
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later result reads."""
         for table in tables:
+            if hasattr(table, "_scratch_name"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table._scratch_name}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

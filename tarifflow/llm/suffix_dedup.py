@@ -25,7 +25,6 @@ are copies of each other.  An empty table gives an empty result.  Extra columns
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -412,7 +411,7 @@ def second_answers(table: pa.Table) -> pa.Table:
 
 
 def removals(block: Block, found: Found, answers: list[dict]):
-    """Per document: bytes removed, spans removed, digest of the rest."""
+    """Per document: bytes removed, spans removed, the rest."""
     repeated = []
     for r in (r for r in answers if r["kind"] == SUFFIX):
         runs = X.unpack(r["b"], np.int32)
@@ -437,18 +436,17 @@ def removals(block: Block, found: Found, answers: list[dict]):
             n = int(own.sum())
             spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
             rest = raw[a:b] if not n else block.data[a:b][~own].tobytes()
-        yield n, spans, hashlib.sha256(rest).hexdigest()
+        yield n, spans, bytes(rest)
 
 
 def dedup(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of `docs`."""
-    spark = docs.sparkSession
-    name, path = f"texts_{uuid.uuid4().hex}", f"{scratch.root}/texts"
-    on_disk = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bucketed by block: answers go to the blocks, texts are not dealt again
-    read_blocks(docs.select(F.col(doc_id).cast("bigint"), text)).write.bucketBy(on_disk, "block").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_text: one row per row of `docs`.
+
+    kept_text: the bytes that stay, in order; a character cut by a removal becomes U+FFFD.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
+    # bucketed by block: answers go to the blocks, texts are not dealt again
+    blocks = scratch.bucketed(read_blocks(docs.select(F.col(doc_id).cast("bigint"), text)), "block", int(size >> 28))
     buckets = max(4, int(size >> 26))
 
     def ask(batches):
@@ -476,10 +474,20 @@ def dedup(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str =
             ids += own.docs
             sizes += own.sizes.tolist()
             out += removals(own, Found(own, got), got)
-        n, spans, digests = zip(*out) if out else ((), (), ())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(n, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
-
-    done = blocks.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        n, spans, rests = zip(*out) if out else ((), (), ())
+        texts = [rest.decode(errors="replace") for rest in rests]
+        columns = {
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_bytes": pa.array(sizes, pa.int64()),
+            "n_removed": pa.array(n, pa.int64()),
+            "n_spans": pa.array(spans, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(rest).hexdigest() for rest in rests], pa.string()),
+            "n_kept": pa.array([len(rest) for rest in rests], pa.int64()),
+            "kept_text": pa.array(texts, pa.string()),
+        }
+        return pa.table(columns)
+
+    done = blocks.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_kept bigint, kept_text string")
     done = scratch.keep(done)
-    spark.sql(f"DROP TABLE {name}")
+    scratch.drop(blocks, first, second)
     return done

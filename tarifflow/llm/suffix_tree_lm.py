@@ -23,8 +23,6 @@ repeated results and count as often as they occur.  Without training texts N and
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -169,13 +167,10 @@ _PARTS = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "keys":
 
 def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows where `held_out` (a Column) is not true."""
-    spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    buckets_on_disk = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"blocks_{uuid.uuid4().hex}", f"{scratch.root}/blocks"
+    length = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
     # bucketed by block: later passes send counts to the blocks, not blocks to the counts
-    read_blocks(docs.select(F.col(doc_id).cast("bigint"), text, held)).write.bucketBy(buckets_on_disk, "block").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = scratch.bucketed(read_blocks(docs.select(F.col(doc_id).cast("bigint"), text, held)), "block", int(length >> 28))
     size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
     bits = min(64, max(32, int(size).bit_length() + 16))
     buckets = max(4, int(-(-size // 1_500_000)))
@@ -233,7 +228,7 @@ def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     empty = pa.table({"doc_id": pa.array([0]), "held_out": pa.array([False]), "n_tokens": pa.array([0]), "n_known": pa.array([0]), "train_tokens": pa.array([0]), "base_score": pa.array([0.0]), "score": pa.array([0.0])})
     out = blocks.groupBy("block").cogroup(counts.unionByName(kept).groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     out = scratch.keep(out)
-    spark.sql(f"DROP TABLE {name}")
+    scratch.drop(blocks, counted, kept)
     return out
 
 
