@@ -24,12 +24,14 @@ comparisons a row.
 
 Defined results: null texts, empty ones and texts of white space have n_shingles 0 and
 are linked with nothing.  Texts of fewer than n words have one n-gram.  Repeated rows
-give repeated results.  An empty table gives an empty result.  Extra columns are ignored.
+give repeated results.  Different texts under one id are rows of their own.  Texts
+without an id link like others; a component's name is the smallest id in it, null if it
+has none.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +40,16 @@ from pyspark.sql import functions as F
 
 from .graph import components, forest
 from .scratch import Scratch
-from .text import SHINGLE_WORDS, mix, shingle_sets
+from .text import SHINGLE_WORDS, mix, pieces, shingle_sets
 
 #: The threshold as a fraction: 4 overlap-units of 5.
 TIMES, OF = 4, 5
 MAX_COMMON = 500_000
-COMMON_IN_TASK = 4
 CROWD, TILE, ROUNDS = 32, 128, 2
-_BUFFER = 1_500_000
+#: Entries that a task holds before it sends them, and those of a block.
+_BUFFER, _BLOCK = 400_000, 150_000
+#: Columns are counted by 32 bits, over so many entries; those that occur less often in them aren't reported.
+_COUNTED, _OFTEN = 5_000_000, 4
 
 
 def row_id(grams: np.ndarray) -> int:
@@ -54,32 +58,37 @@ def row_id(grams: np.ndarray) -> int:
 
 
 def document_rows(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, n, row): set size and row of each document."""
+    """(doc_id, digest, n, row): digest of the text, set size and row of each document."""
 
     def run(batches):
         for batch in batches:
-            sets = [(len(s), row_id(s)) for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([r for _, r in sets], pa.int64())], names=["doc_id", "n", "row"])
+            sets = [(len(s), row_id(s)) for s in shingle_sets(batch.column(2), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([r for _, r in sets], pa.int64())], names=["doc_id", "digest", "n", "row"])
 
-    return docs.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, "doc_id bigint, n bigint, row bigint")
+    return docs.select(F.col(doc_id).cast("bigint"), text_digest(text), text).mapInArrow(run, "doc_id bigint, digest bigint, n bigint, row bigint")
+
+
+def text_digest(text: str = "text"):
+    """64 bits of a text; texts of one id are told apart by them."""
+    return F.xxhash64(F.col(text))
 
 
 def common_columns(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """The most frequent n-grams, at most MAX_COMMON, sorted."""
+    """The first 32 bits of the most frequent n-grams, at most MAX_COMMON, sorted."""
 
     def run(batches):
         held, size = [], 0
 
         def counted():
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= COMMON_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["gram", "count"])
+            often = counts >= _OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(counts[often])], names=["gram", "count"])
 
         for batch in batches:
             for grams in shingle_sets(batch.column(0), words):
-                held.append(grams)
+                held.append(column_key(grams))
                 size += len(grams)
-                if size >= 4 * _BUFFER:
+                if size >= _COUNTED:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -87,7 +96,11 @@ def common_columns(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
     counts = docs.select(text).mapInArrow(run, "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
     top = counts.orderBy(F.desc("count"), "gram").limit(MAX_COMMON).select("gram").toArrow()
-    return np.sort(top["gram"].to_numpy().view(np.uint64))
+    return np.sort(top["gram"].to_numpy().astype(np.uint32))
+
+
+def column_key(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(32)).astype(np.uint32)
 
 
 def prefix_size(n: int) -> int:
@@ -124,7 +137,8 @@ def entries(docs: DataFrame, text: str, words: int, common: np.ndarray, blocks:
                     continue
                 need, late = prefix_size(len(grams)), np.zeros(len(grams), bool)
                 if len(last):
-                    late = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
+                    keys = column_key(grams)
+                    late = last[np.minimum(np.searchsorted(last, keys), len(last) - 1)] == keys
                 lead = grams[~late][:need]
                 if len(lead) < need:
                     lead = np.concatenate([lead, grams[late][: need - len(lead)]])
@@ -225,23 +239,24 @@ class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, doc_id: str, text: str, words: int):
         self.scratch, self.docs, self.words = scratch, docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words
         self.rows = scratch.keep(document_rows(docs, doc_id, text, words))
+        # by row: its smallest id, and one document that holds it
+        self.firsts = scratch.keep(self.rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("smallest"), F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest")))
         self.links: list[DataFrame] = []
 
     def gather(self, wanted: DataFrame) -> None:
         """The n-gram sets of the rows that may be compared."""
         words = self.words
-        first = self.rows.where("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id")).join(wanted, "row", "left_semi")
+        first = self.firsts.join(wanted, "row", "left_semi").select("row", F.col("doc_id").alias("holder"), "digest")
 
         def run(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), words)], pa.binary())], names=["row", "grams"])
+            for batch in (p for b in batches for p in pieces(b, 1)):
+                sets = [s.tobytes() if row_id(s) == row else None for row, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "grams"])
 
-        sets = self.docs.join(first, "doc_id").select("row", "text").mapInArrow(run, "row bigint, grams binary").dropDuplicates(["row"])
+        held = self.docs.withColumn("digest", text_digest()).join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("holder")))
+        sets = held.select("row", "text").mapInArrow(run, "row bigint, grams binary").where("grams IS NOT NULL").dropDuplicates(["row"])
         # bucketed by row: pairs come to the sets
-        spark, self.name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sets.write.bucketBy(buckets, "row").sortBy("row").option("path", f"{self.scratch.root}/sets").saveAsTable(self.name)
-        self.sets = spark.table(self.name)
+        self.sets = self.scratch.bucketed(sets, "row", int(self.total >> 25))
 
     def compare(self, pairs: DataFrame) -> None:
         """Overlaps of (a, b) over the whole rows; keeps those that link."""
@@ -269,23 +284,25 @@ class _Join:
                 fits = F.least("n", "centre.n") * OF >= F.greatest("n", "centre.n") * TIMES
                 pairs = at.where("component != centre.component").where(fits).select(F.least("row", "centre.row").alias("a"), F.greatest("row", "centre.row").alias("b"))
                 self.compare(pairs.distinct())
-        self._tiles(at.select("column", "row", "component"))
+        self._tiles(at.select("column", "row", "n", "component"))
 
     def _tiles(self, entries: DataFrame) -> None:
-        """Rows are dealt to blocks by the largest of their columns, and blocks that share a column meet."""
+        """Rows are dealt to blocks by the largest of their columns and by size, and blocks that share a column meet if their sizes can link."""
         sizes = entries.groupBy("column").agg(F.count("*").alias("size"))
         top = F.max(F.struct("size", "column"))["column"].alias("top")
-        rows = self.scratch.keep(entries.join(sizes, "column").groupBy("row", "component").agg(top))
+        # sizes that link are in one band or in two that follow each other
+        band = F.floor(F.log("n") / math.log(OF / TIMES)).cast("int").alias("band")
+        rows = self.scratch.keep(entries.join(sizes, "column").groupBy("row", "component", band).agg(top))
         # the largest component of a column has blocks of its own, which needn't meet each other
-        counts = rows.groupBy("top", "component").agg(F.count("*").alias("count"))
-        largest = counts.groupBy("top").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all")).select("top", F.col("m.component").alias("largest"), F.col("m.count").alias("majors"), (F.col("all") - F.col("m.count")).alias("minors"))
+        counts = rows.groupBy("top", "band", "component").agg(F.count("*").alias("count"))
+        largest = counts.groupBy("top", "band").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all")).select("top", "band", F.col("m.component").alias("largest"), F.col("m.count").alias("majors"), (F.col("all") - F.col("m.count")).alias("minors"))
         major = F.col("component") == F.col("largest")
         chunk = F.pmod(F.xxhash64("row"), F.ceil(F.when(major, F.col("majors")).otherwise(F.col("minors")) / TILE))
-        rows = self.scratch.keep(rows.join(largest, "top").select("row", "component", F.xxhash64("top", major, chunk).alias("block")))
-        mixed = rows.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        rows = self.scratch.keep(rows.join(largest, ["top", "band"]).select("row", "component", "band", F.xxhash64("top", "band", major, chunk).alias("block")))
+        mixed = rows.groupBy("block", "band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         placed = entries.select("column", "row").join(rows.select("row", "block"), "row").select("column", "block").distinct().join(mixed, "block")
-        one, two = placed.toDF("i", "column", "x1", "y1"), placed.toDF("j", "column", "x2", "y2")
-        meet = one.join(two, "column").where("i <= j AND (x1 != y1 OR x2 != y2 OR x1 != x2)").select("i", "j").distinct()
+        one, two = placed.toDF("i", "column", "p", "x1", "y1"), placed.toDF("j", "column", "q", "x2", "y2")
+        meet = one.join(two, "column").where("i <= j AND abs(p - q) <= 1 AND (x1 != y1 OR x2 != y2 OR x1 != x2)").select("i", "j").distinct()
         meet = self.scratch.keep(meet)
         first = rows.join(meet.withColumnRenamed("i", "block").withColumn("i", F.col("block")), "block").select("row", "i", "j", F.lit(0).alias("side"))
         second = rows.join(meet.where("i != j").withColumnRenamed("j", "block").withColumn("j", F.col("block")), "block").select("row", "i", "j", F.lit(1).alias("side"))
@@ -294,10 +311,13 @@ class _Join:
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of `docs`."""
+    """doc_id, n_shingles, component_id, text_digest, group_key: one row per row of `docs`.
+
+    group_key: the same for all rows of a component and of no other, null without shingles.
+    """
     join = _Join(docs, scratch, doc_id, text, words)
-    total = join.rows.agg(F.sum("n")).first()[0] or 0
-    blocks = int(max(16, total // (OF * 400_000)))
+    join.total = total = join.rows.agg(F.sum("n")).first()[0] or 0
+    blocks = int(max(16, total // (OF * _BLOCK)))
     common = common_columns(docs, text, words)
     product = entries(docs, text, words, common, blocks).groupBy("block").applyInArrow(_multiply, "kind int, a bigint, b bigint, n int, m int, count bigint")
     product = scratch.keep(product)
@@ -309,10 +329,20 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     most = shared + F.ceil(F.greatest("n", "m") * TIMES / OF) - 1
     pairs = scratch.keep(pairs.where(links(most, F.col("n"), F.col("m"))).select("a", "b"))
     join.gather(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(crowded.select("row")).distinct())
-    join.compare(pairs)
-    join.crowds(crowded)
-    docs.sparkSession.sql(f"DROP TABLE {join.name}")
+    try:
+        join.compare(pairs)
+        join.crowds(crowded)
+    finally:
+        scratch.drop(join.sets)
     labels = join.labels()
-    grouped = scratch.keep(join.rows.join(labels, "row", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "row")).alias("component")))
-    smallest = grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # sides that are read from tables: a hot row or component can be split among tasks
+    named = scratch.keep(join.firsts.join(labels, "row").groupBy("component").agg(F.min("smallest").alias("component_id")))
+    renamed = scratch.keep(labels.join(named, "component").select("row", "component", "component_id"))
+    names = scratch.keep(join.firsts.join(renamed, "row", "left").select("row", F.coalesce("component", "row").alias("component"), F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id")))
+    return join.rows.join(names, "row", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("digest").alias("text_digest"),
+        F.when(F.col("n") > 0, F.col("component")).alias("group_key"),
+    )

@@ -73,6 +73,30 @@ def test_empty_table_and_repeated_rows(spark):
     assert len(got) == 4 and {r["component_id"] for r in got} == {1}
 
 
+def partitioned(spark, rows, n):
+    return ngram_join.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(n), Scratch(spark, "t")).collect()
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_different_texts_under_one_id(spark, n):
+    rng = random.Random(2)
+    a, b = words(rng, 40), words(rng, 40)
+    near = lambda t: " ".join([*t, "end"])
+    got = partitioned(spark, [(6, " ".join(a), None), (6, " ".join(b), None), (7, near(a), None), (8, near(b), None), (9, " ".join(words(rng, 9)), None)], n)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(6, 6), (6, 6), (7, 6), (8, 6), (9, 9)]
+    assert len({r["group_key"] for r in got}) == 3
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_links_of_texts_without_an_id(spark, n):
+    rng = random.Random(4)
+    base = words(rng, 75)
+    steps = [" ".join(base[k : k + 60]) for k in (0, 5, 10, 15)]  # each near the next alone
+    got = partitioned(spark, [(20, steps[0], None), (None, steps[1], None), (7, steps[2], None), (None, steps[3], None), (None, " ".join(words(rng, 30)), None), (None, None, None)], n)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(7, 7), (20, 7)]
+    assert sorted(r["component_id"] or 0 for r in got if r["doc_id"] is None) == [0, 0, 7, 7]
+
+
 @pytest.mark.parametrize("n", [1, 5, 10, 24, 100])
 def test_prefix_meets_the_bound(n):
     assert n - ngram_join.prefix_size(n) < 0.8 * n
