@@ -13,7 +13,9 @@ class that is compared once and counted with its size.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite values
 link with nothing.  Vectors of different lengths link with nothing of another length.
 Rows that repeat a vec_id are one vector if they agree, else they count as copies under
-that id.  An empty table gives an empty result.  Extra columns are ignored.
+that id.  A vector without an id links like others; a component's name is the smallest
+id in it, null if it has none.  An empty table gives an empty result.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .graph import components, forest
 from .scratch import Scratch
 
 THRESHOLD = 0.95
-TILE, LEADING = 2048, 16
+#: Doubles of a side of a tile: a vector is sent once for each tile of its cell.
+TILE_VALUES, LEADING, CHUNK = 1 << 19, 16, 256
 SLACK = 1e-12
 
 
@@ -93,10 +96,10 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[n
     square = [np.concatenate((np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(m), 1))), axis=1) for m in (a, other)]
     rest = [np.sqrt(np.maximum(s, 0)) for s in square]
     left, right = [], []
-    for at in range(0, len(a), 512):
-        part = a[at : at + 512]
+    for at in range(0, len(a), CHUNK):
+        part = a[at : at + CHUNK]
         sums = part[:, : cuts[1]] @ other[:, : cuts[1]].T
-        bound = sums + np.outer(rest[0][at : at + 512, cuts[1]], rest[1][:, cuts[1]])
+        bound = sums + np.outer(rest[0][at : at + CHUNK, cuts[1]], rest[1][:, cuts[1]])
         i, j = np.nonzero(bound >= threshold - SLACK)
         if b is None:
             i, j = i[j > i + at], j[j > i + at]
@@ -120,7 +123,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", emb
     """vec_id, n_links, component_id, kept: one row per vector."""
     units = scratch.keep(unit_vectors(df, vec_id, embedding).distinct())
     valid = units.where("unit IS NOT NULL")
-    classes = scratch.keep(valid.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
+    classes = scratch.keep(valid.groupBy("unit").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()))
     n = classes.count()
     axes = principal_axes(classes)
     width = math.sqrt(2 - 2 * threshold) + 1e-9
@@ -152,10 +155,11 @@ def near_duplicates(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", emb
 
     dealt = scratch.keep(classes.select("rep", "size", "unit").mapInArrow(deal, "rep bigint, size bigint, y binary, cell string, home boolean"))
     # at most (2 / width + 2) ** depth cells a vector length
-    parts = lambda kept: F.ceil(F.count(F.when(kept, 1)) / TILE)
-    counts = dealt.groupBy("cell").agg(parts(F.col("home")).alias("homes"), parts(~F.col("home")).alias("guests"))
+    parts = lambda kept: F.ceil(F.sum(F.when(kept, F.octet_length("y") / 8)) / TILE_VALUES)
+    counts = dealt.groupBy("cell").agg(parts(F.col("home")).alias("homes"), F.coalesce(parts(~F.col("home")), F.lit(0)).alias("guests"))
+    counts = scratch.keep(counts.where("homes > 0"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))
-    spread = dealt.join(F.broadcast(counts), "cell").where("homes > 0").withColumn("own", own)
+    spread = dealt.join(counts, "cell").withColumn("own", own)
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     within = F.transform(upto(F.col("homes")), lambda j: F.struct(F.lit("w").alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.col("own").alias("side")))
     outward = F.transform(upto(F.col("guests")), lambda j: F.struct(F.lit("x").alias("kind"), F.col("own").alias("i"), j.alias("j"), F.lit(0).cast("bigint").alias("side")))
@@ -183,11 +187,13 @@ def near_duplicates(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", emb
         return pa.table({"rep": rep[hit], "links": links[hit].astype(np.int64), "root": rep[root[hit]]})
 
     found = scratch.keep(tiles.groupBy("cell", "kind", "i", "j").applyInArrow(compare, "rep bigint, links bigint, root bigint"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
+    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).select(F.col("id").alias("rep"), "component")
+    names = scratch.keep(linked.join(classes.select("rep", "smallest"), "rep").groupBy("component").agg(F.min("smallest").alias("name")))
+    named = scratch.keep(linked.join(names, "component"))
     joined = (
         classes.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-        .join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("unit", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"), "size")
+        .join(named, "rep", "left")
+        .select("unit", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("name")).alias("component"), "size")
     )
     joined = scratch.keep(joined)
     # a row's own copies are the others of its class

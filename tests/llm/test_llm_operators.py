@@ -172,6 +172,28 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_embeddings_with_clashing_and_missing_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=16), rng.normal(size=16)
+    near = lambda v: (v + 0.01 * rng.normal(size=16)).tolist()
+    rows = [(6, a.tolist()), (6, b.tolist()), (7, near(a)), (8, near(b)), (None, near(b)), (None, rng.normal(size=16).tolist()), (None, None), (9, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), Scratch(spark, "t")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 2, 6), (6, 1, 6), (6, 2, 6), (7, 1, 6), (8, 2, 6), (9, 0, 9)]
+
+
+def test_crowded_cell_of_planted_links(spark, monkeypatch):
+    """Chains and copies within one crowd, dealt over many tiles."""
+    monkeypatch.setattr(embedding_dedup, "TILE_VALUES", 24 * 40)
+    rng = np.random.default_rng(5)
+    vectors = [(k, (rng.normal(size=24)).tolist()) for k in range(300)]
+    for k in range(300, 380):  # each a step from the one before
+        vectors.append((k, (np.array(vectors[-1][1]) + 0.05 * rng.normal(size=24)).tolist()))
+    vectors += [(400 + k, vectors[5][1]) for k in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, Scratch(spark, "t")).collect()}
+    assert got == brute_links(vectors) and got[379][0] > 3
+
+
 @pytest.mark.parametrize("d", [1, 3, 16, 70])
 def test_tiles(d):
     rng = np.random.default_rng(d)
