@@ -41,6 +41,38 @@ def test_stages(spark):
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, DATA).collect()} == {1, 4, None}
 
 
+def test_near_duplicates_of_clashing_and_missing_ids(spark):
+    one = "the garden of the old house was full of roses and the children played there all day until the evening came"
+    two = "trains leave the station every hour and nobody knows why the last of them is always late in the winter"
+    rows = [
+        (6, one, "en", "b", 1),
+        (6, one, "en", "a", 1),
+        (6, two, "en", "a", 1),
+        (7, one + " home", "en", "a", 1),
+        (8, two + " again", "en", "a", 1),
+        (None, one, "en", "a", 1),
+        (None, "a text that nobody else has", "en", "a", 1),
+        (None, "a text that nobody else has", "en", "a", 1),
+        (9, "", None, None, None),
+        (9, "", None, None, None),
+        (10, None, None, None, None),
+    ]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCUMENTS), DATA).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in got) == [(0, "a text that nobody else has", "a"), (6, one, "a"), (6, two, "a"), (9, "", ""), (10, "", "")]
+
+
+def test_columns_named_like_those_of_the_stages(spark):
+    schema = DOCUMENTS + ", language string, cosine string, spans string, redacted string, text_digest string, score double, component_id string, item_id string"
+    text = "token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff and a text about trains and stations " + "again and again " * 4000
+    docs = spark.createDataFrame([(1, text, "en", "a", 10, *"abcde", 0.5, "f", "g")], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    row = docs.collect()[0]
+    assert tuple(row)[5:] == (*"abcde", 0.5, "f", "g") and row["text"] == text.replace("token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "[SECRET]")
+    assert sum(r["length"] for r in corpus_pipeline.pack(spark, docs, DATA).collect()) > 12_000
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCUMENTS)
     for _, stage in corpus_pipeline.STAGES:
