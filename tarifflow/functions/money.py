@@ -25,20 +25,14 @@ STORED = "decimal(14,2)"
 
 def normalize_money_text(value: Column, strict: bool = False) -> Column:
     text = F.translate(value.cast("string"), ZERO_LETTERS + ONE_LETTERS, "0" * len(ZERO_LETTERS) + "1" * len(ONE_LETTERS))
-
-    def commas(text: Column) -> Column:
-        one = text.rlike("^[^,.]*,[^,.]*$")
-        if strict:
-            one = one & ~text.rlike(",[0-9]{3}$")
-        return F.replace(F.when(one, F.replace(text, F.lit(","), F.lit("."))).otherwise(text), F.lit(","), F.lit(""))
-
-    return let(F.regexp_replace(text, "[^0-9,.-]", ""), commas)
+    text = F.regexp_replace(text, "[^0-9,.-]", "")
+    text = F.regexp_replace(text, "^([^,.]*),(?![0-9]{3}$)([^,.]*)$" if strict else "^([^,.]*),([^,.]*)$", "$1.$2")
+    return F.replace(text, F.lit(","), F.lit(""))
 
 
 def parse_money(value: Column, strict: bool = False) -> Column:
     """A positive amount, or null. Positive before any rounding to cents."""
-    amount = let(normalize_money_text(value, strict), lambda t: F.when(t.rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), t.try_cast(AMOUNT)))
-    return F.nullif(amount, F.lit(0).cast(AMOUNT))
+    return F.regexp_extract(normalize_money_text(value, strict), "^(?=.*[1-9])([0-9]+[.]?[0-9]*|[.][0-9]+)$", 1).try_cast(AMOUNT)
 
 
 def extract_prices(text: Column) -> Column:

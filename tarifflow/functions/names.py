@@ -98,8 +98,9 @@ def clean_symbols(text: Column) -> Column:
 
 def replace_words(text: Column, words: dict[str, str]) -> Column:
     """Whole words only, one entry after the other."""
-    entries = F.array(*(F.struct(F.lit(rf"(?U)\b{re.escape(old)}\b").alias("old"), F.lit(f" {new} ").alias("new")) for old, new in words.items()))
-    return _collapse(F.aggregate(entries, text, lambda t, w: F.regexp_replace(t, w["old"], w["new"])))
+    for old, new in words.items():  # literal patterns are compiled once
+        text = F.regexp_replace(text, rf"(?U)\b{re.escape(old)}\b", f" {new} ")
+    return _collapse(text)
 
 
 def expand_synonyms(text: Column) -> Column:

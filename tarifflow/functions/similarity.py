@@ -103,28 +103,40 @@ def token_set_of(a: str, b: str) -> float:
 
 
 def partial_of(a: str, b: str) -> float:
-    """The best window of the longer text, of the shorter one's length."""
+    """The best window of the longer text, of the shorter one's length or less at its ends."""
     short, long = sorted((a, b), key=len)
     if not short:
         return 1.0 if not long else 0.0
-    return max(indel(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    n = len(short)
+    best = max(indel(short, long[i : i + n]) for i in range(len(long) - n + 1))
+    for k in range(n - 1, 0, -1):
+        if 2 * k / (n + k) <= best:  # no shorter window can do better
+            break
+        best = max(best, indel(short, long[:k]), indel(short, long[-k:]))
+    return best
 
 
-def weighted_of(a: str, b: str) -> float:
+def weighted_of(a: str, b: str, token_set: float | None = None, token_sort: float | None = None, partial: float | None = None) -> float:
     """The best of the ratios; those that ignore order or length count a little less, partial ones less still the more the lengths differ."""
     if not a or not b:
         return 0.0
     ratio = max(len(a), len(b)) / min(len(a), len(b))
-    whole = max(indel(a, b), 0.95 * max(token_sort_of(a, b), token_set_of(a, b)))
-    return whole if ratio < 1.5 else max(whole, (0.9 if ratio <= 8 else 0.6) * partial_of(a, b))
+    whole = max(indel(a, b), 0.95 * max(token_sort_of(a, b) if token_sort is None else token_sort, token_set_of(a, b) if token_set is None else token_set))
+    return whole if ratio < 1.5 else max(whole, (0.9 if ratio <= 8 else 0.6) * (partial_of(a, b) if partial is None else partial))
 
 
-SCORERS = {"weighted": weighted_of, "token_set": token_set_of, "token_sort": token_sort_of, "partial": partial_of}
+SCORERS = ("weighted", "token_set", "token_sort", "partial")
+
+
+def scores_of(a: str, b: str) -> tuple[float, float, float, float]:
+    """All of SCORERS."""
+    rest = token_set_of(a, b), token_sort_of(a, b), partial_of(a, b)
+    return weighted_of(a, b, *rest), *rest
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in SCORERS]))
 def edit_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({k: [f(a or "", b or "") for a, b in zip(left, right)] for k, f in SCORERS.items()})
+    return pd.DataFrame([scores_of(a or "", b or "") for a, b in zip(left, right)], columns=SCORERS)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -132,6 +144,12 @@ def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([indel(a or "", b or "") for a, b in zip(left, right)])
 
 
+@F.pandas_udf(T.StringType())
+def three_places(scores: pd.Series) -> pd.Series:
+    """Rounded by the exact value of the double; the JVM rounds its shortest decimal form, so 0.5375 would be 0.538 instead of 0.537."""
+    return scores.map("{:.3f}".format)
+
+
 def combined_score(left: Column, right: Column, scores: Column, fuzzy: Column) -> Column:
     """The weighted score of a candidate, 4 places; `scores` from edit_scores."""
     parts = {"fuzzy": fuzzy, "token_set": scores["token_set"], "token_sort": scores["token_sort"], "partial": scores["partial"]}

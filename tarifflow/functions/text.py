@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -47,29 +48,26 @@ def normalize_key(text: Column, compatibility: bool = True) -> Column:
     return key_of_clean(clean_text(text, compatibility))
 
 
-def starts_with_any(key: Column, prefixes) -> Column:
-    found = F.lit(False)
-    for prefix in prefixes:
-        found = found | key.startswith(prefix)
-    return found
+def _begins(prefixes) -> str:
+    """A pattern of texts that begin with any of these; one that none does if there are none."""
+    return "^(?:" + ("|".join(map(re.escape, prefixes)) or "(?!)") + ")"
 
 
 def contains_any(key: Column, words) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | key.contains(word)
-    return found
+    return key.rlike("|".join(map(re.escape, words)) or "(?!)")
+
+
+# one pattern each, as a filter computes its key anew wherever it stands
 
 
 def is_section(key: Column, prefixes=SECTION_PREFIXES) -> Column:
-    return starts_with_any(key, prefixes)
+    return key.rlike(_begins(prefixes))
 
 
 def is_noise(key: Column) -> Column:
-    return (key == "") | starts_with_any(key, NOISE_PREFIXES) | key.rlike(NOISE_YEAR)
+    return key.rlike("|".join(("^$", _begins(NOISE_PREFIXES), NOISE_YEAR)))
 
 
 def is_skipped(clean: Column, sections=SECTION_PREFIXES) -> Column:
     """Lines and names that hold no item: empty, noise, or a section title."""
-    key = key_of_clean(clean)
-    return (clean == "") | is_noise(key) | is_section(key, sections)
+    return key_of_clean(clean).rlike("|".join(("^$", _begins(NOISE_PREFIXES), NOISE_YEAR, _begins(sections))))

@@ -36,8 +36,21 @@ def code_index(services: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def name_index(services: DataFrame, ordinal: str = "ordinal", normalize=N.normalize_name) -> DataFrame:
     """(choice, service_id, …): every normalized name and synonym, the last one of equals."""
     names = F.concat(F.array("service_name"), F.coalesce("synonyms", F.array().cast("array<string>"))) if "synonyms" in services.columns else F.array("service_name")
-    rows = services.select(F.explode(names).alias("_name"), "service_id", "service_name", "category", ordinal).withColumn("choice", normalize(F.col("_name"))).drop("_name")
-    return last_by(rows, "choice", ordinal)
+    rows = services.select(F.explode(names).alias("_name"), F.col("service_id"), "service_name", "category", ordinal)
+    # equal names are normalized once
+    distinct = last_by(rows.withColumn("_raw", F.col("_name")), "_name", ordinal).drop("_name")
+    return last_by(distinct.withColumn("choice", normalize(F.col("_raw"))).drop("_raw"), "choice", ordinal)
+
+
+def distinct_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name) -> DataFrame:
+    """(_key, result): each distinct name and its normalized form."""
+    # normalized from what an aggregation returns: filters on the result don't move below it
+    return items.groupBy(F.col(name).alias("_key")).agg(F.first(name).alias("_raw")).select("_key", normalize(F.col("_raw")).alias(result))
+
+
+def with_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name) -> DataFrame:
+    """`items` with the normalized form of a name, made once for each distinct name; an empty one where it is null."""
+    return items.join(distinct_normalized(items, name, result, normalize), F.col(name).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def top_candidates(scored: DataFrame, query: str = "query", choice: str = "choice", order: str = "ordinal", limit: int = CANDIDATES, scorers=tuple(S.SCORERS)) -> DataFrame:
@@ -58,7 +71,9 @@ def candidate_pairs(queries: DataFrame, choices: DataFrame, broadcast_bytes: int
     if not blocked:
         size = choices.agg(F.sum(F.octet_length("choice") + 64)).first()[0] or 0
         if size <= broadcast_bytes:
-            return queries.crossJoin(F.broadcast(choices))
+            # few names make many pairs, so they are dealt out, not gathered in tasks of a few bytes
+            dealt = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query")
+            return dealt.crossJoin(F.broadcast(choices))
         return queries.crossJoin(choices.repartition(-(-size // max(broadcast_bytes, 1 << 20)), "choice"))
     grams = lambda column: F.explode(F.array_distinct(S.grams(F.col(column))))
     shared = queries.select("query", grams("query").alias("gram")).join(choices.select("choice", grams("choice").alias("gram")), "gram").select("query", "choice").distinct()
@@ -78,7 +93,7 @@ def fuzzy_matches(queries: DataFrame, choices: DataFrame, auto: float = AUTO, re
     best = scored.where("score > 0").groupBy("query").agg(F.max_by(F.struct("service_id", "service_name", "category", "score"), F.struct(F.col("score"), -F.col("place"))).alias("b"))
     status = status_of(F.col("b.score"), auto, review)
     known = status != "unmatched"
-    text = F.concat(F.lit("score="), F.format_string("%.3f", "b.score"))
+    text = F.concat(F.lit("score="), S.three_places("b.score"))
     return best.select(
         "query",
         *(F.when(known, F.col(f"b.{c}")).alias(c) for c in ("service_id", "service_name", "category")),
@@ -93,14 +108,13 @@ def match(items: DataFrame, services: DataFrame, name: str = "service_name_raw",
     """Items with service_id, service_name, category, score, status, method and reason of their match."""
     results = ("service_id", "service_name", "category", "score", "status", "method", "reason")
     kept = [c for c in items.columns if c not in results]
-    distinct = items.select(F.col(name).alias("_raw")).distinct().withColumn("query", normalize(F.col("_raw")))
     choices = name_index(services, ordinal, normalize)
-    found = items.select(*kept).join(distinct, F.col(name).eqNullSafe(F.col("_raw")), "left").drop("_raw")
+    found = with_normalized(items.select(*kept), name, "query", normalize)
     codes = code_index(services, ordinal).select("code_key", F.struct("service_id", "service_name", "category").alias("by_code"))
     found = found.withColumn("code_key", F.lower(F.trim(F.col(code).cast("string")))).join(codes, "code_key", "left")
     exact = choices.select(F.col("choice").alias("query"), F.struct("service_id", "service_name", "category").alias("by_name"))
     found = found.join(exact, "query", "left")
-    open_names = distinct.where("query != ''").select("query").distinct().join(exact, "query", "left_anti")
+    open_names = distinct_normalized(items, name, "query", normalize).select("query").distinct().join(exact, "query", "left_anti")
     near = fuzzy_matches(open_names, choices, auto, review).select("query", F.struct(*results).alias("near"))
     found = found.join(near, "query", "left")
 

@@ -90,13 +90,13 @@ def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=
     """Items of the rows below each header: named, not skipped, with a price; source_row counts from 1."""
     cells = F.col("cells")
     found = rows.join(headers, list(keys)).where("row_pos > header").join(columns, list(keys))
-    found = found.select(
-        *keys,
-        (F.col("row_pos") + 1).cast("int").alias("source_row"),
+    # generated, not selected, so that filters on a value don't compute it again
+    values = F.struct(
         cell(cells, F.col("name_col")).alias("service_name_raw"),
         F.nullif(cell(cells, F.col("code_col")), F.lit("")).alias("service_code_source"),
         *(money_at(cells, F.col(f"{c}_col")).alias(c) for c in ("resident", "nonresident", "original")),
     )
+    found = found.select(*keys, (F.col("row_pos") + 1).cast("int").alias("source_row"), F.inline(F.array(values)))
     found = found.where(~X.is_skipped(F.col("service_name_raw"), sections)).where("coalesce(resident, nonresident, original) IS NOT NULL")
     resident = F.coalesce("resident", "original")
     return found.select(

@@ -157,6 +157,23 @@ def document_rollup(spark, sf_dir):
     return V.rolled_up(documents, found).select("doc_id", "parse_status", "parse_log")
 
 
+# -- money in SQL
+
+_PARSED = """regexp_replace(translate({c}, 'OОоCСсIІl', '000000111'), '[^0-9,.-]', '', 'g')"""
+
+
+def _digits(column: str) -> str:
+    return _PARSED.format(c=column)
+
+
+def _pointed(column: str) -> str:
+    return f"replace(CASE WHEN length({column}) - length(replace({column}, ',', '')) = 1 AND NOT contains({column}, '.') THEN replace({column}, ',', '.') ELSE {column} END, ',', '')"
+
+
+def _valued(column: str) -> str:
+    return f"CASE WHEN regexp_full_match({column}, '([0-9]+[.]?[0-9]*|[.][0-9]+)') THEN try_cast({column} AS DECIMAL(38,10)) END"
+
+
 # -- lines
 
 
@@ -171,7 +188,17 @@ def line_fold(spark, sf_dir):
     return folded.select("doc_id", "source_row", "name", F.size("prices").alias("n_prices"))
 
 
-@query()
+_LISTED = "regexp_extract_all(line, '(?:[0-9IІlOОСC]{1,3}(?:[\\s.,][0-9OОСC]{3})+|[0-9IІlOОСC]{3,})(?:[.,][0-9]{1,2})?')"
+
+
+# the first line is a section and the second has no price, so the third, which is spelled below, gives the item
+@query(f"""WITH listed AS (SELECT p_partkey, p_size, p_name, p_brand || ' ' || CAST(floor(p_retailprice) AS BIGINT) || ' КZT 15OO' AS line FROM part),
+tokens AS (SELECT p_partkey, unnest({_LISTED}) AS token, unnest(range(0, len({_LISTED}))) AS place FROM listed),
+digits AS (SELECT *, {_digits('token')} AS d FROM tokens), pointed AS (SELECT *, {_pointed('d')} AS e FROM digits), valued AS (SELECT *, {_valued('e')} AS amount FROM pointed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY place DESC) AS back FROM valued WHERE amount > 0),
+paid AS (SELECT p_partkey, arg_min(amount, place) AS one, arg_max(amount, place) AS two, count(*) AS n FROM ranked WHERE back <= 3 GROUP BY p_partkey)
+SELECT p_partkey AS doc_id, p_name || rtrim(' ' || line[1:strpos(line, {_LISTED}[1]) - 1]) AS service_name_raw, 'B' || p_size AS service_code_source, CAST(one AS DECIMAL(14,2)) AS price_resident_kzt,
+  CAST(CASE WHEN n > 1 THEN two END AS DECIMAL(14,2)) AS price_nonresident_kzt, CAST(one AS DECIMAL(14,2)) AS price_original, 'KZT' AS currency_original, CAST(2 AS INT) AS source_row FROM listed JOIN paid USING (p_partkey)""")
 def line_items(spark, sf_dir):
     """Flagship: price lists made of part names and prices, read as text lines."""
     parts = table(spark, sf_dir, "part")
@@ -200,7 +227,6 @@ def text_probe(spark, sf_dir):
 _MONEY_TEXT = """money AS (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS w, CASE p_partkey % 8 WHEN 0 THEN CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR)
   WHEN 1 THEN CAST(floor(p_retailprice) AS BIGINT) || ',50' WHEN 2 THEN CAST(floor(p_retailprice) AS BIGINT) || ',500,000' WHEN 3 THEN '1' || 'O' || CAST(floor(p_retailprice) AS BIGINT)
   WHEN 4 THEN '-' || CAST(floor(p_retailprice) AS BIGINT) WHEN 5 THEN CAST(floor(p_retailprice) AS BIGINT) || '-2000' WHEN 6 THEN CAST(floor(p_retailprice) AS BIGINT) || ' 000 тг.' ELSE 'l' || CAST(floor(p_retailprice) AS BIGINT) || '.5' END AS raw FROM part)"""
-_PARSED = """regexp_replace(translate({c}, 'OОоCСсIІl', '000000111'), '[^0-9,.-]', '', 'g')"""
 
 
 def _parsed(column: str) -> str:
@@ -278,7 +304,25 @@ def synonym_split(spark, sf_dir):
     return rows.select("event_id", F.size("s").alias("n_synonyms"), F.element_at("s", 2).alias("second"))
 
 
-@query()
+def _words(text: str, *dictionaries) -> str:
+    """Whole words between single spaces, one entry after the other."""
+    text = f"' ' || replace({text}, ' ', '  ') || ' '"
+    for old, new in (entry for words in dictionaries for entry in words.items()):
+        text = f"replace({text}, ' {old} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({text}, ' +', ' ', 'g'))"
+
+
+_DICTIONARY = [*names.TYPOS, *names.ABBREVIATIONS, *names.REWRITES]
+_PICK = "[{words}][CAST(p_partkey * {k} % {n} + 1 AS BIGINT)]"
+_PICKED = [_PICK.format(words=", ".join(f"'{w}'" for w in _DICTIONARY), k=k, n=len(_DICTIONARY)) for k in (1, 7)]
+_NOISE_LIST = ", ".join(f"'{w}'" for w in names.NOISE_WORDS)
+
+
+@query(f"""WITH named AS (SELECT p_partkey, {_PICKED[0]} || ' ' || p_name || ' ' || {_PICKED[1]} || ' (1 усл) №5' AS raw FROM part),
+plain AS (SELECT *, trim(regexp_replace(replace(regexp_replace(replace(lower(raw), 'ё', 'е'), '\\([^)]*\\)', ' ', 'g'), '№', ' '), ' +', ' ', 'g')) AS t FROM named),
+typed AS (SELECT *, {_words('t', names.TYPOS)} AS t1 FROM plain), long AS (SELECT *, {_words('t1', names.ABBREVIATIONS)} AS t2 FROM typed), told AS (SELECT *, {_words('t2', names.REWRITES)} AS t3 FROM long)
+SELECT p_partkey, raw, coalesce(array_to_string(list_filter(string_split(t3, ' '), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_NOISE_LIST})), ' '), '') AS normalized,
+  {_words('lower(raw)', names.SYNONYMS)} AS expanded FROM told""")
 def normalized_names(spark, sf_dir):
     """Russian names made of the dictionaries' words."""
     words = F.array(*(F.lit(w) for w in (*names.TYPOS, *names.ABBREVIATIONS, *names.REWRITES)))
@@ -343,7 +387,10 @@ def column_map(spark, sf_dir):
 @query(f"""WITH {_CELLS}, {_HEADER}, {_TITLES}, {_MAP},
 found AS (SELECT r.doc_id, r.sheet, CAST(row_pos + 1 AS INT) AS source_row, coalesce(trim(cells[name_col + 1]), '') AS name, nullif(coalesce(trim(cells[code_col + 1]), ''), '') AS code,
   cells[resident_col + 1] AS r_text, cells[nonresident_col + 1] AS n_text, cells[original_col + 1] AS o_text FROM sheet_rows r JOIN header h ON r.doc_id = h.doc_id AND r.sheet = h.sheet JOIN map m ON r.doc_id = m.doc_id AND r.sheet = m.sheet WHERE row_pos > header),
-priced AS (SELECT doc_id, sheet, source_row, name, code, {_parsed('r_text')} AS r, {_parsed('n_text')} AS n, {_parsed('o_text')} AS o, {_KEYED.format(c='name')} AS k FROM found)
+digits AS (SELECT *, {_digits('r_text')} AS r0, {_digits('n_text')} AS n0, {_digits('o_text')} AS o0, {_KEYED.format(c='name')} AS k FROM found),
+pointed AS (SELECT *, {_pointed('r0')} AS r1, {_pointed('n0')} AS n1, {_pointed('o0')} AS o1 FROM digits),
+valued AS (SELECT *, {_valued('r1')} AS r2, {_valued('n1')} AS n2, {_valued('o1')} AS o2 FROM pointed),
+priced AS (SELECT *, CASE WHEN r2 > 0 THEN r2 END AS r, CASE WHEN n2 > 0 THEN n2 END AS n, CASE WHEN o2 > 0 THEN o2 END AS o FROM valued)
 SELECT doc_id, sheet, source_row, name AS service_name_raw, code AS service_code_source, CAST(coalesce(r, o) AS DECIMAL(14,2)) AS price_resident_kzt, CAST(n AS DECIMAL(14,2)) AS price_nonresident_kzt,
   CAST(coalesce(o, r, n) AS DECIMAL(14,2)) AS price_original, 'KZT' AS currency_original FROM priced
 WHERE name <> '' AND NOT (k = '' OR {_NOISY} OR regexp_full_match(k, '20[0-9]{{2}}( год| года)?') OR {_SECTION}) AND coalesce(r, n, o) IS NOT NULL""")
@@ -367,7 +414,7 @@ def code_match(spark, sf_dir):
 @query(f"WITH {_SERVICE}, {_ITEM}, {_LAST_NAME} SELECT item_id, n.service_id AS matched_id, n.category AS matched_category FROM item LEFT JOIN by_name n ON lower(service_name_raw) = choice")
 def exact_match(spark, sf_dir):
     index = J.name_index(services(spark, sf_dir).withColumn("ordinal", F.col("service_id")))
-    rows = items(spark, sf_dir).withColumn("choice", names.normalize_name(F.col("service_name_raw"))).drop("service_id")
+    rows = J.with_normalized(items(spark, sf_dir).drop("service_id"), "service_name_raw", "choice")
     return rows.join(index, "choice", "left").select("item_id", F.col("service_id").alias("matched_id"), F.col("category").alias("matched_category"))
 
 
@@ -410,7 +457,12 @@ def topk_candidates(spark, sf_dir):
     return J.top_candidates(scored, order="choice", limit=5, scorers=("trigram", "jaccard")).select("query", "choice", "fuzzy", "place")
 
 
-@query()
+_LCS = """lcs AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b)), lambda k: 0) AS row FROM texts
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN 1 + CASE WHEN k = 1 THEN 0 ELSE row[k - 1] END ELSE row[k] END))) FROM lcs WHERE i < length(a)),
+indel AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2 * coalesce(row[length(b)], 0) / (length(a) + length(b)) END AS ratio FROM lcs WHERE i = length(a))"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, texts AS (SELECT DISTINCT query AS a, choice AS b FROM pairs), {_LCS} SELECT a AS query, b AS choice, round(ratio, 6) AS ratio FROM indel")
 def indel_ratio(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("query", "choice", F.round(S.indel_ratio("query", "choice"), 6).alias("ratio"))
 
@@ -427,17 +479,60 @@ def _matched(spark, sf_dir):
     return J.match(rows, catalogue)
 
 
-@query()
+_SCORERS = ("weighted", "token_set", "token_sort", "partial")
+_TELLING = "list_filter({c}, lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in S.LOW_VALUE_TOKENS) + "))"
+_NORMAL = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), '\\([^)]*\\)', ' ', 'g'), '[ ,.;:|/_+*-]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '[0-9]+')), ' ')"
+_CASCADE = f"""{_SERVICE}, {_ITEM},
+asked AS (SELECT item_id, doc_id, partner_id, CASE WHEN item_id % 3 = 0 THEN lower(trim(service_code_source)) END AS code_key, CASE WHEN item_id % 5 = 0 THEN translate(service_name_raw, 'ei', 'ie') || ' (1)' ELSE service_name_raw END AS raw FROM item),
+spelled AS (SELECT raw, {_NORMAL.format(c='raw')} AS query FROM (SELECT DISTINCT raw FROM asked)),
+choices AS (SELECT {_NORMAL.format(c='n')} AS choice, max(service_id) AS ordinal FROM (SELECT service_name AS n, service_id FROM service UNION ALL SELECT 'new ' || service_name, service_id FROM service) GROUP BY 1),
+by_code AS (SELECT lower(trim(code)) AS code_key, max(service_id) AS ordinal FROM service GROUP BY 1),
+open_names AS (SELECT DISTINCT query FROM spelled WHERE query <> '' AND query NOT IN (SELECT choice FROM choices)),
+pairs AS (SELECT query, choice, ordinal, list_sort(list_distinct(string_split(query, ' '))) AS x, list_sort(list_distinct(string_split(choice, ' '))) AS y,
+  array_to_string(list_sort(string_split(query, ' ')), ' ') AS qs, array_to_string(list_sort(string_split(choice, ' ')), ' ') AS cs, CASE WHEN length(query) <= length(choice) THEN query ELSE choice END AS short, CASE WHEN length(query) <= length(choice) THEN choice ELSE query END AS long FROM open_names, choices),
+sets AS (SELECT *, list_filter(x, lambda t: list_contains(y, t)) AS common, list_filter(x, lambda t: NOT list_contains(y, t)) AS xs, list_filter(y, lambda t: NOT list_contains(x, t)) AS ys FROM pairs),
+forms AS (SELECT *, array_to_string(common, ' ') AS shared, array_to_string(list_concat(common, xs), ' ') AS one, array_to_string(list_concat(common, ys), ' ') AS two FROM sets),
+parts AS (SELECT DISTINCT short, long FROM forms),
+windows AS (SELECT short, long, long[i:i + length(short) - 1] AS w FROM (SELECT *, unnest(range(1, length(long) - length(short) + 2)) AS i FROM parts)
+  UNION SELECT short, long, long[1:i] FROM (SELECT *, unnest(range(1, length(short))) AS i FROM parts) UNION SELECT short, long, long[length(long) - i + 1:] FROM (SELECT *, unnest(range(1, length(short))) AS i FROM parts)),
+texts AS (SELECT query AS a, choice AS b FROM forms UNION SELECT qs, cs FROM forms UNION SELECT one, two FROM forms UNION SELECT shared, one FROM forms UNION SELECT shared, two FROM forms UNION SELECT short, w FROM windows),
+{_LCS},
+partials AS (SELECT short, long, max(ratio) AS partial FROM windows JOIN indel ON a = short AND b = w GROUP BY short, long),
+rated AS (SELECT f.*, p.partial, q.ratio AS whole, s.ratio AS token_sort, CASE WHEN len(common) > 0 AND (len(xs) = 0 OR len(ys) = 0) THEN 1.0 ELSE greatest(t.ratio, CASE WHEN len(common) > 0 THEN u.ratio ELSE 0.0 END, CASE WHEN len(common) > 0 THEN v.ratio ELSE 0.0 END) END AS token_set
+  FROM forms f JOIN partials p ON p.short = f.short AND p.long = f.long JOIN indel q ON q.a = query AND q.b = choice JOIN indel s ON s.a = qs AND s.b = cs JOIN indel t ON t.a = one AND t.b = two JOIN indel u ON u.a = shared AND u.b = one JOIN indel v ON v.a = shared AND v.b = two),
+weighed AS (SELECT *, CASE WHEN length(long) / length(short) < 1.5 THEN best ELSE greatest(best, CASE WHEN length(long) / length(short) <= 8 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END * partial) END AS weighted FROM (SELECT *, greatest(whole, CAST(0.95 AS DOUBLE) * greatest(token_sort, token_set)) AS best FROM rated)),
+ranked AS (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY query ORDER BY {c} DESC, ordinal) AS r_{c}' for c in _SCORERS)} FROM weighed),
+taken AS (SELECT *, greatest({', '.join(f'CASE WHEN r_{c} <= 30 THEN {c} END' for c in _SCORERS)}) AS fuzzy FROM ranked WHERE least({', '.join(f'r_{c}' for c in _SCORERS)}) <= 30),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fuzzy DESC, ordinal) AS place, {_TELLING.format(c='x')} AS xt, {_TELLING.format(c='y')} AS yt FROM taken),
+named AS (SELECT query AS name FROM open_names UNION SELECT choice FROM choices),
+grams AS (SELECT name, substr(' ' || name || ' ', CAST(i AS BIGINT), 3) AS g, count(*) AS n FROM (SELECT name, unnest(range(1, length(name) + 1)) AS i FROM named) GROUP BY 1, 2),
+norms AS (SELECT name, sqrt(sum(n * n)) AS norm FROM grams GROUP BY 1), dots AS (SELECT a.name AS query, b.name AS choice, sum(a.n * b.n) AS dot FROM grams a JOIN grams b ON a.g = b.g GROUP BY 1, 2),
+combined AS (SELECT p.query, p.choice, p.ordinal, place, round(CAST(0.2 AS DOUBLE) * fuzzy + CAST(0.2 AS DOUBLE) * token_set + CAST(0.15 AS DOUBLE) * token_sort + CAST(0.15 AS DOUBLE) * partial + CAST(0.1 AS DOUBLE) * (len(common) / (len(common) + len(xs) + len(ys)))
+    + CAST(0.15 AS DOUBLE) * CASE WHEN len(xt) = 0 OR len(yt) = 0 THEN 0.0 ELSE (len(list_intersect(xt, yt)) / len(xt) + len(list_intersect(xt, yt)) / len(yt)) / 2 END + CAST(0.05 AS DOUBLE) * (coalesce(dot, 0) / (m.norm * k.norm)), 4) AS score
+  FROM placed p JOIN norms m ON m.name = p.query JOIN norms k ON k.name = p.choice LEFT JOIN dots d ON d.query = p.query AND d.choice = p.choice WHERE place <= 30),
+best AS (SELECT query, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place) AS n FROM combined WHERE score > 0) WHERE n = 1),
+found AS (SELECT a.item_id, a.raw, s.query, c.ordinal AS code_id, n.ordinal AS name_id, b.ordinal AS near_id, b.score AS near_score FROM asked a JOIN spelled s ON a.raw = s.raw LEFT JOIN by_code c ON a.code_key = c.code_key LEFT JOIN choices n ON n.choice = s.query LEFT JOIN best b ON b.query = s.query),
+judged AS (SELECT item_id, raw, query, CASE WHEN query = '' THEN NULL ELSE coalesce(code_id, name_id, CASE WHEN near_score >= 0.55 THEN near_id END) END AS id, near_id,
+  CASE WHEN query = '' THEN 0.0 WHEN code_id IS NOT NULL THEN 0.98 WHEN name_id IS NOT NULL THEN 1.0 ELSE coalesce(near_score, 0.0) END AS score,
+  CASE WHEN query = '' THEN 'none' WHEN code_id IS NOT NULL THEN 'code' WHEN name_id IS NOT NULL THEN 'exact' WHEN near_id IS NOT NULL THEN 'fuzzy_semantic' ELSE 'none' END AS method FROM found),
+stated AS (SELECT *, CASE WHEN score >= 0.78 THEN 'auto' WHEN score >= 0.55 THEN 'needs_review' ELSE 'unmatched' END AS status FROM judged),
+matched AS (SELECT item_id, raw, query AS normalized_name, CAST(id AS VARCHAR) AS service_id, s.service_name, CAST(score AS DOUBLE) AS score, status, method,
+  CASE WHEN query = '' THEN 'empty_name' WHEN method = 'code' THEN 'matched by source code' WHEN method = 'exact' THEN 'exact normalized name' WHEN near_id IS NULL THEN 'no_best_candidate' WHEN id IS NULL THEN 'best candidate: ' || n.service_name || '; score=' || printf('%.3f', score) ELSE 'score=' || printf('%.3f', score) END AS reason
+  FROM stated LEFT JOIN service s ON s.service_id = id LEFT JOIN service n ON n.service_id = near_id)"""
+
+
+@query(f"WITH RECURSIVE {_CASCADE} SELECT item_id, normalized_name, service_id, service_name, score, status, method, reason FROM matched")
 def match_cascade(spark, sf_dir):
     return _matched(spark, sf_dir).select("item_id", "normalized_name", "service_id", "service_name", "score", "status", "method", "reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CASCADE} SELECT count(*) AS total, count(*) FILTER (status = 'auto') AS auto_matched, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'unmatched') AS unmatched,
+  coalesce(round(count(*) FILTER (status = 'auto') / count(*) * 100, 2), 0) AS auto_rate FROM matched""")
 def match_report(spark, sf_dir):
     return J.match_report(_matched(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CASCADE} SELECT raw AS raw_name, service_id, status AS match_status, score AS match_confidence, status || ': ' || coalesce(service_name, 'None') || '; ' || reason AS verification_note FROM matched WHERE status <> 'auto'")
 def review_queue(spark, sf_dir):
     return J.review_queue(_matched(spark, sf_dir))
 
