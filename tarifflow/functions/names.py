@@ -130,9 +130,9 @@ def token_set(text: Column) -> Column:
 
 def lemmatize(names: DataFrame, lemmas: DataFrame, name: str, result: str = "normalized") -> DataFrame:
     """`names` with its distinct names normalised through a (token, lemma) table."""
-    distinct = names.select(F.col(name).alias("_raw")).distinct()
-    tokens = distinct.select("_raw", F.posexplode_outer(name_tokens(F.col("_raw"))).alias("_at", "token"))
+    distinct = names.select(F.col(name).alias("_lemma_of")).distinct()
+    tokens = distinct.select("_lemma_of", F.posexplode_outer(name_tokens(F.col("_lemma_of"))).alias("_at", "token"))
     tokens = tokens.join(lemmas.select("token", "lemma").dropDuplicates(["token"]), "token", "left").withColumn("token", F.coalesce("lemma", "token"))
     kept = F.when(keep_token(F.col("token")), F.struct("_at", "token"))
-    found = tokens.groupBy("_raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda t: t["token"]), " ").alias(result))
-    return names.join(found, names[name].eqNullSafe(found["_raw"]), "left").drop("_raw")
+    found = tokens.groupBy("_lemma_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda t: t["token"]), " ").alias(result))
+    return names.join(found, F.col(name).eqNullSafe(F.col("_lemma_of")), "left").drop("_lemma_of")

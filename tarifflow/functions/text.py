@@ -16,6 +16,10 @@ NOISE_PREFIXES = ("приложение", "утверждаю", "председ
 NOISE_YEAR = "^20[0-9]{2}( год| года)?$"
 
 
+#: ASCII and Russian letters, which NFKC leaves as they are.
+STABLE = "^[\\x{00}-\\x{7f}\\x{410}-\\x{44f}\\x{401}\\x{451}]*$"
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
@@ -32,10 +36,10 @@ def spaces(text: Column) -> Column:
 
 
 def clean_text(text: Column, compatibility: bool = True) -> Column:
-    """Null becomes empty; NFKC and single spaces. Text of ASCII alone skips Python unless `compatibility` is off for all."""
+    """Null becomes empty; NFKC and single spaces. Texts that NFKC can't change go through Python as nulls, all rows do so; with `compatibility` off none does."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     if compatibility:
-        text = F.when(text.rlike("^[\\x{00}-\\x{7f}]*$"), text).otherwise(_nfkc(F.when(~text.rlike("^[\\x{00}-\\x{7f}]*$"), text)))
+        text = F.coalesce(_nfkc(F.when(~text.rlike(STABLE), text)), text)
     return spaces(text)
 
 

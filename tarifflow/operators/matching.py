@@ -33,24 +33,29 @@ def code_index(services: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return last_by(rows, "code_key", ordinal)
 
 
-def name_index(services: DataFrame, ordinal: str = "ordinal", normalize=N.normalize_name) -> DataFrame:
+def _normalized(names: DataFrame, result: str, normalize, lemmas: DataFrame | None) -> DataFrame:
+    return names.withColumn(result, normalize(F.col("_raw"))) if lemmas is None else N.lemmatize(names, lemmas, "_raw", result)
+
+
+def name_index(services: DataFrame, ordinal: str = "ordinal", normalize=N.normalize_name, lemmas: DataFrame | None = None) -> DataFrame:
     """(choice, service_id, …): every normalized name and synonym, the last one of equals."""
     names = F.concat(F.array("service_name"), F.coalesce("synonyms", F.array().cast("array<string>"))) if "synonyms" in services.columns else F.array("service_name")
     rows = services.select(F.explode(names).alias("_name"), F.col("service_id"), "service_name", "category", ordinal)
     # equal names are normalized once
     distinct = last_by(rows.withColumn("_raw", F.col("_name")), "_name", ordinal).drop("_name")
-    return last_by(distinct.withColumn("choice", normalize(F.col("_raw"))).drop("_raw"), "choice", ordinal)
+    return last_by(_normalized(distinct, "choice", normalize, lemmas).drop("_raw"), "choice", ordinal)
 
 
-def distinct_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name) -> DataFrame:
+def distinct_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name, lemmas: DataFrame | None = None) -> DataFrame:
     """(_key, result): each distinct name and its normalized form."""
     # normalized from what an aggregation returns: filters on the result don't move below it
-    return items.groupBy(F.col(name).alias("_key")).agg(F.first(name).alias("_raw")).select("_key", normalize(F.col("_raw")).alias(result))
+    distinct = items.groupBy(F.col(name).alias("_key")).agg(F.first(name).alias("_raw"))
+    return _normalized(distinct, result, normalize, lemmas).select("_key", result)
 
 
-def with_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name) -> DataFrame:
+def with_normalized(items: DataFrame, name: str, result: str, normalize=N.normalize_name, lemmas: DataFrame | None = None) -> DataFrame:
     """`items` with the normalized form of a name, made once for each distinct name; an empty one where it is null."""
-    return items.join(distinct_normalized(items, name, result, normalize), F.col(name).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return items.join(distinct_normalized(items, name, result, normalize, lemmas), F.col(name).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def top_candidates(scored: DataFrame, query: str = "query", choice: str = "choice", order: str = "ordinal", limit: int = CANDIDATES, scorers=tuple(S.SCORERS)) -> DataFrame:
@@ -104,17 +109,20 @@ def fuzzy_matches(queries: DataFrame, choices: DataFrame, auto: float = AUTO, re
     )
 
 
-def match(items: DataFrame, services: DataFrame, name: str = "service_name_raw", code: str = "service_code_source", ordinal: str = "ordinal", normalize=N.normalize_name, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
-    """Items with service_id, service_name, category, score, status, method and reason of their match."""
+def match(items: DataFrame, services: DataFrame, name: str = "service_name_raw", code: str = "service_code_source", ordinal: str = "ordinal", normalize=N.normalize_name, auto: float = AUTO, review: float = REVIEW, lemmas: DataFrame | None = None) -> DataFrame:
+    """Items with service_id, service_name, category, score, status, method and reason of their match.
+
+    With `lemmas` (token, lemma), names are normalized through them instead of by `normalize`.
+    """
     results = ("service_id", "service_name", "category", "score", "status", "method", "reason")
     kept = [c for c in items.columns if c not in results]
-    choices = name_index(services, ordinal, normalize)
-    found = with_normalized(items.select(*kept), name, "query", normalize)
+    choices = name_index(services, ordinal, normalize, lemmas)
+    found = with_normalized(items.select(*kept), name, "query", normalize, lemmas)
     codes = code_index(services, ordinal).select("code_key", F.struct("service_id", "service_name", "category").alias("by_code"))
     found = found.withColumn("code_key", F.lower(F.trim(F.col(code).cast("string")))).join(codes, "code_key", "left")
     exact = choices.select(F.col("choice").alias("query"), F.struct("service_id", "service_name", "category").alias("by_name"))
     found = found.join(exact, "query", "left")
-    open_names = distinct_normalized(items, name, "query", normalize).select("query").distinct().join(exact, "query", "left_anti")
+    open_names = distinct_normalized(items, name, "query", normalize, lemmas).select("query").distinct().join(exact, "query", "left_anti")
     near = fuzzy_matches(open_names, choices, auto, review).select("query", F.struct(*results).alias("near"))
     found = found.join(near, "query", "left")
 

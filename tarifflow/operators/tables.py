@@ -25,24 +25,24 @@ HEADER_ROWS, HEADER_SCAN, HEADER_SCORE = 3, 80, 2
 TABLE = ("doc_id", "sheet")
 
 
-def header_score(cells: Column, stems=HEADER_STEMS) -> Column:
-    key = X.key_of_clean(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " "))
+def header_score(cells: Column, stems=HEADER_STEMS, compatibility: bool = True) -> Column:
+    key = X.normalize_key(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " "), compatibility)
     score = F.lit(0)
     for stem in stems:
         score = score + key.contains(stem).cast("int")
     return score
 
 
-def pick_headers(rows: DataFrame, keys=TABLE, stems=HEADER_STEMS, scan: int = HEADER_SCAN, least: int = HEADER_SCORE) -> DataFrame:
+def pick_headers(rows: DataFrame, keys=TABLE, stems=HEADER_STEMS, scan: int = HEADER_SCAN, least: int = HEADER_SCORE, compatibility: bool = True) -> DataFrame:
     """(keys, header): the best row of the first ones, the latest of equals; tables without one go."""
-    best = rows.where(F.col("row_pos") < scan).groupBy(*keys).agg(F.max(F.struct(header_score(F.col("cells"), stems).alias("score"), "row_pos")).alias("b"))
+    best = rows.where(F.col("row_pos") < scan).groupBy(*keys).agg(F.max(F.struct(header_score(F.col("cells"), stems, compatibility).alias("score"), "row_pos")).alias("b"))
     return best.where(F.col("b.score") >= least).select(*keys, F.col("b.row_pos").alias("header"))
 
 
-def merged_headers(rows: DataFrame, headers: DataFrame, keys=TABLE) -> DataFrame:
+def merged_headers(rows: DataFrame, headers: DataFrame, keys=TABLE, compatibility: bool = True) -> DataFrame:
     """(keys, col, title): titles joined over the header row and the two after it."""
     near = rows.join(headers, list(keys)).where((F.col("row_pos") >= F.col("header")) & (F.col("row_pos") < F.col("header") + HEADER_ROWS))
-    cells = near.select(*keys, "row_pos", F.posexplode("cells").alias("col", "cell")).withColumn("cell", X.spaces(F.coalesce("cell", F.lit(""))))
+    cells = near.select(*keys, "row_pos", F.posexplode("cells").alias("col", "cell")).withColumn("cell", X.clean_text(F.col("cell"), compatibility))
     parts = F.array_sort(F.collect_list(F.when(F.col("cell") != "", F.struct("row_pos", "cell"))))
     return cells.groupBy(*keys, "col").agg(F.array_join(F.transform(parts, lambda p: p["cell"]), " ").alias("title"))
 
@@ -77,23 +77,23 @@ def column_map(titles: DataFrame, keys=TABLE, name=NAME_NEEDLES, code=CODE_NEEDL
     )
 
 
-def cell(cells: Column, at: Column) -> Column:
+def cell(cells: Column, at: Column, compatibility: bool = True) -> Column:
     """A cleaned cell; empty where the column is unknown or beyond the row."""
-    return F.coalesce(F.when(at.isNotNull(), X.spaces(F.try_element_at(cells, at + 1))), F.lit(""))
+    return X.clean_text(F.when(at.isNotNull(), F.try_element_at(cells, at + 1)), compatibility)
 
 
 def money_at(cells: Column, at: Column) -> Column:
     return F.when(at.isNotNull(), M.parse_money(F.try_element_at(cells, at + 1)))
 
 
-def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES) -> DataFrame:
+def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES, compatibility: bool = True) -> DataFrame:
     """Items of the rows below each header: named, not skipped, with a price; source_row counts from 1."""
     cells = F.col("cells")
     found = rows.join(headers, list(keys)).where("row_pos > header").join(columns, list(keys))
     # generated, not selected, so that filters on a value don't compute it again
     values = F.struct(
-        cell(cells, F.col("name_col")).alias("service_name_raw"),
-        F.nullif(cell(cells, F.col("code_col")), F.lit("")).alias("service_code_source"),
+        cell(cells, F.col("name_col"), compatibility).alias("service_name_raw"),
+        F.nullif(cell(cells, F.col("code_col"), compatibility), F.lit("")).alias("service_code_source"),
         *(money_at(cells, F.col(f"{c}_col")).alias(c) for c in ("resident", "nonresident", "original")),
     )
     found = found.select(*keys, (F.col("row_pos") + 1).cast("int").alias("source_row"), F.inline(F.array(values)))
@@ -111,27 +111,34 @@ def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=
     )
 
 
-def items_of_tables(rows: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES) -> DataFrame:
-    headers = pick_headers(rows, keys)
-    return rows_to_items(rows, headers, column_map(merged_headers(rows, headers, keys), keys), keys, sections)
+def items_of_tables(rows: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES, compatibility: bool = True) -> DataFrame:
+    headers = pick_headers(rows, keys, compatibility=compatibility)
+    return rows_to_items(rows, headers, column_map(merged_headers(rows, headers, keys, compatibility), keys), keys, sections, compatibility)
+
+
+#: Cells of a row are cleaned at once, kept apart by a character that cleaning leaves alone.
+_APART = "\ue000"
+
+
+def _joined(cells: Column) -> Column:
+    return X.clean_text(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), _APART))
 
 
 def raw_content(rows: DataFrame, document: str = "doc_id", per_sheet: int = 30) -> DataFrame:
-    """The first rows of each sheet as text, under its title."""
-    kept = rows.where(F.col("row_pos") < per_sheet)
-    line = F.array_join(F.filter(F.transform("cells", lambda c: X.spaces(F.coalesce(c, F.lit("")))), lambda c: c != ""), " | ")
-    sheets = kept.groupBy(document, "sheet").agg(F.array_sort(F.collect_list(F.struct("row_pos", line.alias("t")))).alias("l"))
+    """The first rows of each sheet as text, under its title; sheets by `sheet_no` if there is one, else by title."""
+    number = F.col("sheet_no") if "sheet_no" in rows.columns else F.lit(0)
+    kept = rows.where(F.col("row_pos") < per_sheet).select(document, number.alias("sheet_no"), "sheet", "row_pos", _joined(F.col("cells")).alias("line"))
+    line = F.array_join(F.filter(F.transform(F.split("line", _APART), lambda c: F.trim(c)), lambda c: c != ""), " | ")
+    sheets = kept.groupBy(document, "sheet_no", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_pos", line.alias("t")))).alias("l"))
     text = F.concat(F.lit("# "), F.coalesce("sheet", F.lit("")), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"))
-    return sheets.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", text.alias("t")))), lambda x: x["t"]), "\n").alias("raw_content"))
+    return sheets.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_no", "sheet", text.alias("t")))), lambda x: x["t"]), "\n").alias("raw_content"))
 
 
 def document_content(paragraphs: DataFrame, rows: DataFrame, document: str = "doc_id", most: int = 500) -> DataFrame:
     """All paragraphs of each word-processor document, then the first rows of its tables, as one text."""
     said = paragraphs.select(document, F.lit(0).alias("part"), F.lit(0).alias("table"), F.col("line_no").alias("place"), X.clean_text(F.col("text")).alias("t")).where("t != ''")
-    # cells are cleaned at once, kept apart by a character that cleaning leaves alone
-    apart = X.clean_text(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\ue000"))
     number = F.regexp_extract("sheet", "[0-9]+$", 0).cast("int")
-    listed = rows.select(document, F.lit(1).alias("part"), number.alias("table"), F.col("row_pos").alias("place"), F.regexp_replace(apart, " ?\ue000 ?", " | ").alias("t"))
+    listed = rows.select(document, F.lit(1).alias("part"), number.alias("table"), F.col("row_pos").alias("place"), F.regexp_replace(_joined(F.col("cells")), f" ?{_APART} ?", " | ").alias("t"))
     nth = F.row_number().over(W.partitionBy(document).orderBy("table", "place"))
     listed = listed.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
     lines = said.unionByName(listed).groupBy(document).agg(F.array_sort(F.collect_list(F.struct("part", "table", "place", "t"))).alias("l"))

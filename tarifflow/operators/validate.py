@@ -39,16 +39,19 @@ def row_issues(items: DataFrame, as_of: Column | None = None) -> DataFrame:
     return items.select("doc_id", "item_id", F.explode(messages).alias("m")).select("doc_id", "item_id", "m.rule", "m.message")
 
 
-def duplicate_positions(items: DataFrame) -> DataFrame:
-    """Positions of one partner with one name (any case) and date more than once; missing dates are equal."""
-    key = [F.col("partner_id"), F.lower("service_name_raw").alias("name_key"), F.col("effective_date")]
-    return items.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1").withColumn("message", F.concat(F.lit("duplicate position: "), "name_key"))
+def duplicate_positions(items: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Positions of one partner with one name (any case) and date more than once; missing dates are equal.
 
+    `within`: columns that have to be equal too, such as the document.
+    """
+    key = [*map(F.col, within), F.col("partner_id"), F.lower("service_name_raw").alias("name_key"), F.col("effective_date")]
+    return items.groupBy(*key).agg(F.count("*").alias("n"), *([] if "doc_id" in within else [F.min("doc_id").alias("doc_id")])).where("n > 1").withColumn("message", F.concat(F.lit("duplicate position: "), "name_key"))
 
-def issues(items: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """All warnings: (doc_id, kind, ordinal, message), rules before duplicates."""
+
+def issues(items: DataFrame, as_of: Column | None = None, within: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """All warnings: (doc_id, kind, ordinal, message), rules before duplicates, which are looked for in each document."""
     rules = row_issues(items, as_of).select("doc_id", F.lit("warning").alias("kind"), F.lit(0).alias("part"), F.col("item_id").cast("string").alias("at"), "rule", "message")
-    twice = duplicate_positions(items).select("doc_id", F.lit("warning").alias("kind"), F.lit(1).alias("part"), F.col("name_key").alias("at"), F.lit(0).alias("rule"), "message")
+    twice = duplicate_positions(items, within).select("doc_id", F.lit("warning").alias("kind"), F.lit(1).alias("part"), F.col("name_key").alias("at"), F.lit(0).alias("rule"), "message")
     order = W.partitionBy("doc_id").orderBy("part", "at", "rule", "message")
     return rules.unionByName(twice).select("doc_id", "kind", F.row_number().over(order).cast("bigint").alias("ordinal"), "message")
 

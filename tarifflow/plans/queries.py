@@ -111,6 +111,14 @@ def duplicate_positions(spark, sf_dir):
     return V.duplicate_positions(items(spark, sf_dir))
 
 
+@query(f"""WITH {_ITEM}, month AS (SELECT doc_id, partner_id, lower(left(service_name_raw, 1)) AS name_key FROM item)
+SELECT doc_id, partner_id, name_key, CAST(NULL AS DATE) AS effective_date, count(*) AS n, 'duplicate position: ' || name_key AS message FROM month GROUP BY doc_id, partner_id, name_key HAVING count(*) > 1""")
+def document_duplicates(spark, sf_dir):
+    """Duplicates within a document; names are cut to a letter and dates left out, so that there are some."""
+    cut = items(spark, sf_dir).withColumns({"service_name_raw": F.left("service_name_raw", F.lit(1)), "effective_date": F.lit(None).cast("date")})
+    return V.duplicate_positions(cut, within=("doc_id",))
+
+
 @query(f"""WITH {_ITEM}, marked AS (SELECT *, CASE WHEN item_id % 7 <> 0 THEN effective_date END AS day FROM item),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY partner_id, service_name_raw, day ORDER BY item_id, price_resident_kzt) AS n FROM marked WHERE is_active AND day IS NOT NULL)
 SELECT item_id, partner_id, service_name_raw, day, price_resident_kzt FROM ranked WHERE n = 1
@@ -153,7 +161,8 @@ FROM document d LEFT JOIN logs ON d.doc_id = logs.doc_id""")
 def document_rollup(spark, sf_dir):
     documents = price_documents(spark, sf_dir)
     errors = documents.where("parse_status = 'error'").selectExpr("doc_id", "'error' AS kind", "CAST(0 AS BIGINT) AS ordinal", "'document is unreadable' AS message")
-    found = V.issues(_test_items(spark, sf_dir), F.lit(AS_OF).cast("date")).unionByName(errors)
+    # duplicates over all documents of a partner, as the SQL says
+    found = V.issues(_test_items(spark, sf_dir), F.lit(AS_OF).cast("date"), within=()).unionByName(errors)
     return V.rolled_up(documents, found).select("doc_id", "parse_status", "parse_log")
 
 
@@ -375,13 +384,14 @@ def sheet_rows(spark, sf_dir):
 
 @query(f"WITH {_CELLS}, {_HEADER} SELECT doc_id, sheet, header FROM header")
 def header_pick(spark, sf_dir):
-    return T.pick_headers(sheet_rows(spark, sf_dir))
+    return T.pick_headers(sheet_rows(spark, sf_dir), compatibility=False)
 
 
 @query(f"WITH {_CELLS}, {_HEADER}, {_TITLES}, {_MAP} SELECT * FROM map")
 def column_map(spark, sf_dir):
     rows = sheet_rows(spark, sf_dir)
-    return T.column_map(T.merged_headers(rows, T.pick_headers(rows)))
+    # NFKC is left out here as SQL has none
+    return T.column_map(T.merged_headers(rows, T.pick_headers(rows, compatibility=False), compatibility=False))
 
 
 @query(f"""WITH {_CELLS}, {_HEADER}, {_TITLES}, {_MAP},
@@ -395,7 +405,7 @@ SELECT doc_id, sheet, source_row, name AS service_name_raw, code AS service_code
   CAST(coalesce(o, r, n) AS DECIMAL(14,2)) AS price_original, 'KZT' AS currency_original FROM priced
 WHERE name <> '' AND NOT (k = '' OR {_NOISY} OR regexp_full_match(k, '20[0-9]{{2}}( год| года)?') OR {_SECTION}) AND coalesce(r, n, o) IS NOT NULL""")
 def rows_to_items(spark, sf_dir):
-    return T.items_of_tables(sheet_rows(spark, sf_dir))
+    return T.items_of_tables(sheet_rows(spark, sf_dir), compatibility=False)
 
 
 # -- matching

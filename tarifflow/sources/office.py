@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = "doc_id string, sheet string, row_pos int, cells array<string>, error string"
+CELLS = "doc_id string, sheet_no int, sheet string, row_pos int, cells array<string>, error string"
 LINES = "doc_id string, page int, line_no int, text string, error string"
 XLS_ERROR = "Cannot read .xls: install xlrd or LibreOffice"
 
@@ -120,9 +120,13 @@ def read_cells(files: DataFrame) -> DataFrame:
                 except (ValueError, KeyError, IndexError, AttributeError, TypeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows, error = [], str(e) or type(e).__name__
                 n = len(rows) + (error is not None)
+                order: dict[str, int] = {}
+                for name, _, _ in rows:
+                    order.setdefault(name, len(order))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": [doc] * n,
+                        "sheet_no": pa.array([order[s] for s, _, _ in rows] + [None] * (error is not None), pa.int32()),
                         "sheet": pa.array([s for s, _, _ in rows] + [None] * (error is not None), pa.string()),
                         "row_pos": pa.array([k for _, k, _ in rows] + [None] * (error is not None), pa.int32()),
                         "cells": pa.array([c for _, _, c in rows] + [None] * (error is not None), pa.list_(pa.string())),

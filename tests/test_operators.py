@@ -199,13 +199,63 @@ def test_ingest(spark, folder):
     items = {r["service_name_raw"]: r for r in got["price_items"].collect()}
     assert set(items) == {"Анализ крови", "Осмотр", "Header Blood test"}
     assert (items["Анализ крови"]["service_code_source"], items["Анализ крови"]["source_row"], items["Анализ крови"]["source_sheet"]) == ("B7", 3, "Лист")
-    assert items["Осмотр"]["price_original"] == 2500
+    assert items["Осмотр"]["price_original"] == 2500 and items["Осмотр"]["source_sheet"] is None
+    assert (documents["old.xls"]["file_format"], documents["text.pdf"]["file_format"]) == ("xlsx", "pdf")
     report = got["parse_report"].first()
     assert (report["documents_total"], report["documents_done"], report["documents_error"], report["items_total"]) == (6, 3, 3, 3)
     sinks.write_all({**got}, str(folder / "out"))
     assert spark.read.option("header", "true").csv(str(folder / "out/price_items.csv")).count() == 3
 
 
+def test_scans(spark, tmp_path):
+    """Files without enough text are read by the other extractor, which gets its options."""
+    for name, text in {"said.pdf": "Blood test 1500 " * 9, "scan.pdf": "x", "none.pdf": "y", "bad.pdf": "z"}.items():
+        (tmp_path / name).write_bytes(text.encode())
+
+    def scan(content, dpi, max_pages):
+        if content == b"z" or dpi != 300:
+            raise ValueError("no image")
+        return [(k, f"Scanned {'abc'[k - 1]} {k}000") for k in range(1, 4)] if content == b"x" else []
+
+    options = ingest.Options(text_extractor=lambda content: [(1, content.decode())], scan_extractor=scan, ocr_dpi=300, max_ocr_pages=2)
+    got = ingest.ingest(spark, str(tmp_path), options)
+    documents = {r["file_name"]: (r["file_format"], r["parse_status"], r["parse_log"]) for r in got["documents"].collect()}
+    assert documents["said.pdf"] == ("pdf", "done", "")
+    assert documents["scan.pdf"][:2] == ("scan_pdf", "done")
+    assert documents["none.pdf"] == ("scan_pdf", "error", "OCR PDF has no recognized price rows")
+    assert documents["bad.pdf"] == ("scan_pdf", "error", "OCR error: no image")
+    assert got["price_items"].where("service_name_raw LIKE 'Scanned%'").count() == 2
+
+
+def test_sheets_in_the_order_of_the_workbook(spark):
+    rows = [("d", k, title, 0, [title, " "]) for k, title in enumerate(("b", "table 10", "a"))]
+    frame = spark.createDataFrame(rows, "doc_id string, sheet_no int, sheet string, row_pos int, cells array<string>")
+    assert tables.raw_content(frame).first()["raw_content"] == "# b\nb\n# table 10\ntable 10\n# a\na"
+
+
+def test_compatibility_forms_in_cells(spark):
+    rows = [("d", "s", 0, ["Ｎ", "Ｎаименование", "Цена"]), ("d", "s", 1, ["Ａ１", "Анализ №\u00a0２", "1500"])]
+    frame = spark.createDataFrame(rows, "doc_id string, sheet string, row_pos int, cells array<string>")
+    got = tables.items_of_tables(spark.createDataFrame([("d", "s", 0, ["Ｃode", "наименование", "Цена"]), rows[1]], frame.schema)).first()
+    assert (got["service_name_raw"], got["price_original"]) == ("Анализ No 2", 1500)
+    assert tables.items_of_tables(spark.createDataFrame([("d", "s", 0, ["код", "наименование", "Цена"]), rows[1]], frame.schema)).first()["service_code_source"] == "A1"
+
+
+def test_duplicates_within_a_document(spark):
+    rows = [("1", "d", "p", "A", 1, None, 1, None), ("2", "e", "p", "a", 1, None, 1, None), ("3", "e", "p", "A", 1, None, 1, None)]
+    items = spark.createDataFrame([tuple(Decimal(v) if isinstance(v, int) else v for v in r) for r in rows], ITEM)
+    assert [r["doc_id"] for r in validate.issues(items).collect()] == ["e"]
+    assert validate.duplicate_positions(items).first()["n"] == 3
+
+
+def test_lemmas_in_matching(spark):
+    lemmas = spark.createDataFrame([("анализы", "анализ"), ("почки", "почка"), ("почек", "почка")], "token string, lemma string")
+    items = spark.createDataFrame([(1, "УЗИ почки", None), (2, "Общие анализы", None), (3, None, None)], "i int, service_name_raw string, service_code_source string")
+    got = {r["i"]: r for r in matching.match(items, services(spark), lemmas=lemmas).collect()}
+    assert (got[1]["service_id"], got[1]["method"], got[1]["normalized_name"]) == ("2", "exact", "ультразвуковое исследование почка")
+    assert got[2]["normalized_name"] == "общие анализ" and got[3]["reason"] == "empty_name"
+
+
 def test_streaming_ingest(spark, folder):
     query = incremental.start(spark, str(folder / "in"), str(folder / "tables"), str(folder / "state"))
     query.awaitTermination(120)
