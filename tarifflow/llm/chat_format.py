@@ -60,8 +60,12 @@ def assemble(roles: list[str], contents: pa.Array) -> tuple[pa.Array, np.ndarray
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     out = np.empty(int(ends[-1]) if n else 0, np.uint8)
     content_at = starts + head_sizes
-    for role, head in heads.items():
-        rows = np.flatnonzero(np.fromiter((r == role for r in roles), bool, n))
+    number = {role: k for k, role in enumerate(heads)}
+    which = np.fromiter((number[r] for r in roles), np.int64, n)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(len(heads) + 1))
+    for k, head in enumerate(heads.values()):
+        rows = order[cuts[k] : cuts[k + 1]]
         out[starts[rows][:, None] + np.arange(len(head))] = head
     out[(ends - len(END))[:, None] + np.arange(len(END))] = np.frombuffer(END, np.uint8)
     shift = np.repeat(content_at - offsets[:-1] - before[:-1], np.diff(offsets))

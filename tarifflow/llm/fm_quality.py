@@ -11,7 +11,8 @@ smallest hash of their id); scoring reads every text.  The fitted model has a fi
 and is what the tasks receive.
 
 Defined results: null and empty texts are scored from an empty word set.  Null labels
-are ignored; a document labelled more than once counts by its largest label.  With no
+are ignored; a document labelled more than once counts by its largest label, and of
+different texts under one labelled id one is learned, the same in every run.  With no
 labels, or one label only, every score is the share of that label.  Repeated documents
 are scored once each.  Extra columns are carried through by `score`; an input column
 named like the result is replaced.
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([b.astype(np.uint16).tobytes() for b, _, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v, _ in got], pa.binary()), pa.array([s.tolist() for _, _, s in got], pa.list_(pa.float64()))], names=["doc_id", "label", "buckets", "values", "stats"])
 
     table = rows.mapInArrow(run, "doc_id bigint, label int, buckets binary, values binary, stats array<double>").toPandas()
-    table = table.drop_duplicates("doc_id").sort_values("doc_id")
+    table = table.sort_values(["doc_id", "buckets", "values"]).drop_duplicates("doc_id")
     got = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float), np.array(s)) for b, v, s in zip(table["buckets"], table["values"], table["stats"])]
     return fit(got, table["label"].to_numpy().astype(float))
 
