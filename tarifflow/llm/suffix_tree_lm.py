@@ -32,7 +32,7 @@ from . import exchange as X
 from .scratch import Scratch
 from .text import crc_bucket, mix, slices, string_buffers, word_hashes
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PRIOR, MIN_CONTEXT, MIN_GAIN = 3.0, 3, 2.0
 END = np.uint64(0x1F83D9ABFB41BD6B)
 WORD, PAIR, TRIPLE, CONTEXT_1, CONTEXT_2 = range(5)
