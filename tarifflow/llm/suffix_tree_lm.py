@@ -1,16 +1,19 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Symbols are words and one end per text.  A context is the one or two words before a
+Symbols are words and one end per text.  A context is up to `depth` words before a
 symbol.  The next-symbol distribution of a context is smoothed with that of its suffix,
 p(s | xc) = (n(xcs) + m p(s | c)) / (n(xc) + m), down to
 p(s) = (n(s) + 0.5) / (N + 0.5 (V + 1)), which leaves a share for unknown words.
 
-A context is kept if it diverges from its suffix by more than its own sampling: the sum
-over its training occurrences of log p(s | xc) / p(s | c), with the occurrence itself
-left out of the counts, has to exceed MIN_GAIN.  A text is scored at each symbol in the
-state of the longest kept suffix.
+A context that occurs MIN_CONTEXT times or more in training is kept if it diverges from
+its suffix by more than its own sampling: the sum over its training occurrences of
+log p(s | xc) / p(s | c), with the occurrence itself left out of the counts, has to
+exceed MIN_GAIN.  A text is scored at each symbol in the state of the longest kept
+suffix.
 
-All n-grams of all training texts are counted, on hashes: 64 bits for words and
+N-grams of all training texts are counted, order by order: those of three words and more
+only behind contexts that occur MIN_CONTEXT times, since no other can be kept, so what is
+sent shrinks with the order.  Counts are on hashes: 64 bits for words and
 log2(tokens) + 16 for longer ones, so at any size fewer than one n-gram in 2**14 shares
 its count with another.  Documents are read into blocks of token numbers, and counts and
 divergences are added up over blocks (see exchange); a block asks for the n-grams that it
@@ -23,6 +26,9 @@ repeated results and count as often as they occur.  Without training texts N and
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +39,14 @@ from .scratch import Scratch
 from .text import crc_bucket, mix, slices, string_buffers, word_hashes
 
 BLOCK_TOKENS = 1_000_000
-PRIOR, MIN_CONTEXT, MIN_GAIN = 3.0, 3, 2.0
+#: Words of the longest context.
+DEPTH = 4
+#: Two occurrences are the fewest that the divergence with one left out can test.
+PRIOR, MIN_CONTEXT, MIN_GAIN = 3.0, 2, 2.0
 END = np.uint64(0x1F83D9ABFB41BD6B)
-WORD, PAIR, TRIPLE, CONTEXT_1, CONTEXT_2 = range(5)
-_K1, _K2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Kinds of keys: k for n-grams behind contexts of k words, CONTEXT + k for those contexts.
+CONTEXT = 64
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 BLOCKS = "block bigint, docs array<bigint>, held array<boolean>, sizes array<int>, vocabulary binary, tokens binary"
 
@@ -80,81 +90,98 @@ def read_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+@dataclass
+class Level:
+    """Positions of a block behind a context of k words, and the n-grams that end there."""
+
+    at: np.ndarray
+    context: np.ndarray  # of each position, an index into the keys of the level before
+    keys: np.ndarray  # sorted distinct n-grams
+    index: np.ndarray  # of each position, into keys
+
+
 class Block:
-    """One block's positions: symbol, its contexts, and keys of the n-grams that end there."""
+    """One block's positions: symbol, and by level the n-grams that end there."""
 
     def __init__(self, sizes, held, vocabulary: bytes, tokens: bytes, bits: int):
-        self.words, self.token = X.unpack_sorted(vocabulary), X.unpack(tokens, np.int32)
+        self.words, token = X.unpack_sorted(vocabulary), X.unpack(tokens, np.int32)
         sizes = np.array(sizes, np.int64)
         self.first = np.cumsum(sizes) - sizes
         self.train = np.repeat(~np.array(held, bool), sizes)
-        depth = np.arange(len(self.token)) - np.repeat(self.first, sizes)
-        h = self.words[self.token]
-        shift = np.uint64(64 - bits)
-        pair = np.zeros(len(h), np.uint64)
-        pair[1:] = mix(h[:-1] * _K1 + h[1:])
-        triple = np.zeros(len(h), np.uint64)
-        triple[2:] = mix(pair[1:-1] * _K2 + h[2:])
-        self.with_1, self.with_2 = np.flatnonzero(depth >= 1), np.flatnonzero(depth >= 2)
-        self.pairs, self.pair = np.unique(pair[self.with_1] >> shift, return_inverse=True)
-        self.triples, self.triple = np.unique(triple[self.with_2] >> shift, return_inverse=True)
-        #: the pair before a triple's last word, as an index into self.pairs
-        before = np.full(len(h), -1, np.int64)
-        before[self.with_1] = self.pair
-        self.context_2 = before[self.with_2 - 1]
-        self.context_1 = self.token[self.with_1 - 1]
-
-    def counts(self):
+        self.before = np.arange(len(token)) - np.repeat(self.first, sizes)
+        self.shift = np.uint64(64 - bits)
+        self.levels = [Level(np.arange(len(token)), np.zeros(0, np.int32), self.words, token)]
+
+    def grow(self, depth: int, answers: dict) -> Block:
+        """Levels for contexts of up to `depth` words; from two on they need the counts of the levels before."""
+        last = self.levels[0]
+        symbol = self.words[last.index]
+        gram, place = symbol, last.index
+        for k in range(1, depth + 1):
+            at = last.at if k == 1 else last.at[(answers.get(k - 1, np.zeros(0)) >= MIN_CONTEXT)[last.index]]
+            at = at[at < len(symbol) - 1] + 1
+            at = at[self.before[at] >= k]
+            longer = np.zeros(len(symbol), np.uint64)
+            longer[at] = mix(gram[at - 1] * _STEP + symbol[at])
+            keys, index = np.unique(longer[at] >> self.shift, return_inverse=True)
+            last = Level(at, place[at - 1], keys, index.astype(np.int32))
+            self.levels.append(last)
+            gram, place = longer, np.zeros(len(symbol), np.int32)
+            place[at] = last.index
+        return self
+
+    def counts(self, levels):
         """(kind, sorted keys, training count of each)."""
-        count = lambda index, at, n: np.bincount(index, self.train[at], n).astype(np.uint32)
-        every = np.arange(len(self.token))
-        yield WORD, self.words, count(self.token, every, len(self.words))
-        yield PAIR, self.pairs, count(self.pair, self.with_1, len(self.pairs))
-        yield TRIPLE, self.triples, count(self.triple, self.with_2, len(self.triples))
-
-    def probabilities(self, answers: dict, total: float, distinct: float):
-        word, pair, triple = (answers.get(k, np.zeros(0)) for k in (WORD, PAIR, TRIPLE))
-        self.word_count = word.astype(np.float64)
-        n1, n2 = pair.astype(np.float64)[self.pair], triple.astype(np.float64)[self.triple]
-        c1, c2 = self.word_count[self.context_1], pair.astype(np.float64)[self.context_2]
-        p0 = (self.word_count[self.token] + 0.5) / (total + 0.5 * (distinct + 1))
-        p1 = np.ones(len(p0))
-        p1[self.with_1] = (n1 + PRIOR * p0[self.with_1]) / (c1 + PRIOR)
-        p2 = (n2 + PRIOR * p1[self.with_2]) / (c2 + PRIOR)
-        return p0, p1, p2, (n1, c1, n2, c2)
-
-    def contexts(self, answers: dict):
-        """(kind, which of the words or pairs can be contexts)."""
-        word, pair = answers.get(WORD, np.zeros(0)), answers.get(PAIR, np.zeros(0))
-        used_1 = np.bincount(self.context_1, minlength=len(self.words)) > 0
-        used_2 = np.bincount(self.context_2, minlength=len(self.pairs)) > 0
-        return (CONTEXT_1, used_1 & (word >= MIN_CONTEXT)), (CONTEXT_2, used_2 & (pair >= MIN_CONTEXT))
+        for k in levels:
+            level = self.levels[k]
+            yield k, level.keys, np.bincount(level.index, self.train[level.at], len(level.keys)).astype(np.uint32)
+
+    def states(self, answers: dict):
+        """(k, level, n-gram and context counts of its positions), by level from 0."""
+        before = None
+        for k, level in enumerate(self.levels):
+            counts = answers.get(k, np.zeros(0)).astype(np.float64)
+            yield k, level, counts[level.index], None if k == 0 else before[level.context]
+            before = counts
+
+    def contexts(self, k: int, answers: dict) -> np.ndarray:
+        """Which n-grams of the level before are contexts of level k that may be kept."""
+        before, level = self.levels[k - 1], self.levels[k]
+        return (np.bincount(level.context, minlength=len(before.keys)) > 0) & (answers.get(k - 1, np.zeros(0)) >= MIN_CONTEXT)
 
     def gains(self, answers: dict, total: float, distinct: float):
         """(kind, sorted keys, this block's part of each context's divergence)."""
-        p0, _, _, (n1, c1, n2, c2) = self.probabilities(answers, total, distinct)
-        left = np.ones(len(p0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left[self.with_1] = (n1 - 1 + PRIOR * p0[self.with_1]) / (c1 - 1 + PRIOR)
-            gain_1 = np.where(self.train[self.with_1], np.log(left[self.with_1] / p0[self.with_1]), 0)
-            own = (n2 - 1 + PRIOR * left[self.with_2]) / (c2 - 1 + PRIOR)
-            gain_2 = np.where(self.train[self.with_2], np.log(own / left[self.with_2]), 0)
-        (k1, one), (k2, two) = self.contexts(answers)
-        yield k1, self.words[one], np.bincount(self.context_1, gain_1, len(self.words))[one].astype(np.float32)
-        yield k2, self.pairs[two], np.bincount(self.context_2, gain_2, len(self.pairs))[two].astype(np.float32)
+        for k, level, n, c in self.states(answers):
+            if k == 0:
+                left = base(n, total, distinct)
+                continue
+            suffix = left[level.at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own = (n - 1 + PRIOR * suffix) / (c - 1 + PRIOR)
+                gain = np.where(self.train[level.at], np.log(own / suffix), 0)
+            left[level.at] = own
+            keys, which = self.levels[k - 1].keys, self.contexts(k, answers)
+            yield CONTEXT + k, keys[which], np.bincount(level.context, gain, len(keys))[which].astype(np.float32)
 
     def scores(self, answers: dict, total: float, distinct: float):
         """By document: tokens, known tokens, base score, score."""
-        p0, p1, p2, _ = self.probabilities(answers, total, distinct)
-        best = p0.copy()
-        for (kind, which), at, index, p in zip(self.contexts(answers), (self.with_1, self.with_2), (self.context_1, self.context_2), (p1[self.with_1], p2)):
-            kept = np.zeros(len(which), bool)
-            kept[which] = answers.get(kind, np.zeros(0)) > 0
-            use = kept[index]
-            best[at[use]] = p[use]
+        for k, level, n, c in self.states(answers):
+            if k == 0:
+                known, p = n > 0, base(n, total, distinct)
+                first, best = p.copy(), p.copy()
+                continue
+            own = (n + PRIOR * p[level.at]) / (c + PRIOR)
+            p[level.at] = own
+            kept = self.contexts(k, answers)
+            kept[kept] = answers.get(CONTEXT + k, np.zeros(0)) > 0
+            use = kept[level.context]
+            best[level.at[use]] = own[use]
         add = lambda v: np.add.reduceat(v, self.first)
-        known = add((self.word_count[self.token] > 0).astype(np.int64))
-        return add(np.ones(len(p0), np.int64)), known, add(np.log10(p0)), add(np.log10(best))
+        return add(np.ones(len(best), np.int64)), add(known.astype(np.int64)), add(np.log10(first)), add(np.log10(best))
+
+
+def base(counts: np.ndarray, total: float, distinct: float) -> np.ndarray:
+    return (counts + 0.5) / (total + 0.5 * (distinct + 1))
 
 
 def _rows(rows: list[tuple], types: dict) -> pa.RecordBatch:
@@ -165,8 +192,10 @@ def _rows(rows: list[tuple], types: dict) -> pa.RecordBatch:
 _PARTS = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "keys": pa.binary(), "amounts": pa.binary()}
 
 
-def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows where `held_out` (a Column) is not true."""
+def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", held_out=None, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns contexts of up to `depth` words, one or more, from rows where `held_out` (a Column) is not true."""
+    if not 1 <= depth < CONTEXT:
+        raise ValueError("a context has between one and 63 words")
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     length = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
     # bucketed by block: later passes send counts to the blocks, not blocks to the counts
@@ -174,61 +203,78 @@ def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
     bits = min(64, max(32, int(size).bit_length() + 16))
     buckets = max(4, int(-(-size // 1_500_000)))
-    width = {WORD: 64, PAIR: bits, TRIPLE: bits, CONTEXT_1: 64, CONTEXT_2: bits}
+    words = (0, CONTEXT + 1)
 
     def block_of(row) -> Block:
         return Block(row["sizes"], row["held"], row["vocabulary"], row["tokens"], bits)
 
+    def sent(row, found):
+        return [p for kind, keys, n in found for p in X.parts(row["block"], kind, keys, n, 64 if kind in words else bits, buckets)]
+
     def ask(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                yield _rows([p for kind, keys, n in block_of(row).counts() for p in X.parts(row["block"], kind, keys, n, width[kind], buckets)], _PARTS)
+                yield _rows(sent(row, block_of(row).grow(1, {}).counts((0, 1))), _PARTS)
+
+    def ask_longer(k: int):
+        def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+            got = answers_of(answers)
+            return pa.Table.from_batches([_rows([p for row in block.to_pylist() for p in sent(row, block_of(row).grow(k, got).counts((k,)))], _PARTS)])
+
+        return run
 
     def add_counts(table: pa.Table) -> pa.Table:
         sums, places, _ = X.add_up(table["keys"].to_pylist(), table["amounts"].to_pylist(), np.uint32)
         kind, bucket, n = table["kind"][0].as_py(), table["bucket"][0].as_py(), table.num_rows
         top = np.uint32(0xFFFFFFFF)
         answers = [X.pack(np.minimum(sums[p], top).astype(np.uint32)) for p in places]
-        found = kind == WORD
+        found = kind == 0
         return pa.table({"block": pa.concat_arrays([table["block"].combine_chunks(), pa.array([None], pa.int64())]), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "total": pa.array([0] * n + [int(sums.sum()) if found else 0]), "distinct": pa.array([0] * n + [int((sums > 0).sum()) if found else 0])})
 
-    counted = scratch.keep(blocks.select("block", "held", "sizes", "vocabulary", "tokens").mapInArrow(ask, X.PARTS).groupBy("kind", "bucket").applyInArrow(add_counts, X.ANSWERS + ", total bigint, distinct bigint"))
-    total, distinct = (int(x or 0) for x in counted.where("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first())
-    counts = counted.where("block IS NOT NULL").select("block", "kind", "bucket", "answer")
-
     def answers_of(table: pa.Table) -> dict:
         by: dict[int, list] = {}
         for kind, bucket, answer in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["answer"].to_pylist()):
             by.setdefault(kind, []).append((bucket, answer))
-        return {k: np.concatenate([X.unpack(a, np.uint32 if k <= TRIPLE else np.uint8) for _, a in sorted(v)]) for k, v in by.items()}
+        return {k: np.concatenate([X.unpack(a, np.uint32 if k < CONTEXT else np.uint8) for _, a in sorted(v)]) for k, v in by.items()}
+
+    lean = blocks.select("block", "held", "sizes", "vocabulary", "tokens")
+
+    def add_up(asked: DataFrame) -> DataFrame:
+        return scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(add_counts, X.ANSWERS + ", total bigint, distinct bigint"))
+
+    counted = [add_up(lean.mapInArrow(ask, X.PARTS))]
+    total, distinct = (int(x or 0) for x in counted[0].where("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first())
+
+    def counts() -> DataFrame:
+        return reduce(DataFrame.unionByName, counted).where("block IS NOT NULL").select("block", "kind", "bucket", "answer")
+
+    for k in range(2, depth + 1):
+        counted.append(add_up(lean.groupBy("block").cogroup(counts().where("kind > 0").groupBy("block")).applyInArrow(ask_longer(k), X.PARTS)))
 
     def diverge(block: pa.Table, answers: pa.Table) -> pa.Table:
-        got, out = answers_of(answers), []
-        for row in block.to_pylist():
-            out += [p for kind, keys, g in block_of(row).gains(got, total, distinct) for p in X.parts(row["block"], kind, keys, g, width[kind], buckets)]
-        return pa.Table.from_batches([_rows(out, _PARTS)])
+        got = answers_of(answers)
+        return pa.Table.from_batches([_rows([p for row in block.to_pylist() for p in sent(row, block_of(row).grow(depth, got).gains(got, total, distinct))], _PARTS)])
 
     def add_gains(table: pa.Table) -> pa.Table:
         sums, places, _ = X.add_up(table["keys"].to_pylist(), table["amounts"].to_pylist(), np.float32)
         kept = [X.pack((sums[p] > MIN_GAIN).astype(np.uint8)) for p in places]
         return pa.table({"block": table["block"], "kind": table["kind"], "bucket": table["bucket"], "answer": pa.array(kept, pa.binary())})
 
-    lean = blocks.select("block", "held", "sizes", "vocabulary", "tokens")
-    gains = lean.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(diverge, X.PARTS)
+    gains = lean.groupBy("block").cogroup(counts().groupBy("block")).applyInArrow(diverge, X.PARTS)
     kept = scratch.keep(gains.groupBy("kind", "bucket").applyInArrow(add_gains, X.ANSWERS))
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         got, out = answers_of(answers), []
         for row in block.to_pylist():
-            n, known, base, score = block_of(row).scores(got, total, distinct)
-            out.append(pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": n, "n_known": known, "train_tokens": pa.array([total] * len(n), pa.int64()), "base_score": base, "score": score}))
+            n, known, first, score = block_of(row).grow(depth, got).scores(got, total, distinct)
+            out.append(pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": n, "n_known": known, "train_tokens": pa.array([total] * len(n), pa.int64()), "base_score": first, "score": score}))
         return pa.concat_tables(out) if out else empty.slice(0, 0)
 
     empty = pa.table({"doc_id": pa.array([0]), "held_out": pa.array([False]), "n_tokens": pa.array([0]), "n_known": pa.array([0]), "train_tokens": pa.array([0]), "base_score": pa.array([0.0]), "score": pa.array([0.0])})
-    out = blocks.groupBy("block").cogroup(counts.unionByName(kept).groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(counts().unionByName(kept).groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     out = scratch.keep(out)
-    scratch.drop(blocks, counted, kept)
+    scratch.drop(blocks, *counted, kept)
     return out
 
 

@@ -96,8 +96,11 @@ def test_language_model(spark):
 def test_next_word_shares_sum_to_one():
     """In a kept context, over known words, the end and one unknown word."""
     block = suffix_tree_lm.Block([4], [False], exchange.pack_sorted(np.array([5, 9, 70], np.uint64)), exchange.pack(np.array([0, 1, 0, 2], np.int32)), 48)
-    answers = {k: c for k, _, c in block.counts()}
-    p0, p1, _, _ = block.probabilities(answers, 4, 3)
+    answers = {k: c for k, _, c in block.grow(1, {}).counts((0, 1))}
+    (_, _, n0, _), (_, level, n1, c1) = block.states(answers)
+    p0 = suffix_tree_lm.base(n0, 4, 3)
+    p1 = p0.copy()
+    p1[level.at] = (n1 + suffix_tree_lm.PRIOR * p0[level.at]) / (c1 + suffix_tree_lm.PRIOR)
     share = lambda c: (c + 0.5) / (4 + 0.5 * 4)
     # after word 0 came 1 and the end once each; the other known word and an unknown one never
     prior = suffix_tree_lm.PRIOR
@@ -105,6 +108,61 @@ def test_next_word_shares_sum_to_one():
     assert total == pytest.approx(1) and p0[1] == pytest.approx(share(1))
 
 
+def suffix_tree_scores(texts, held, depth):
+    """Contexts as tuples and counts in dictionaries, each text's score in log10."""
+    prior, least = suffix_tree_lm.PRIOR, suffix_tree_lm.MIN_CONTEXT
+    split = [[*t.lower().split(), None] for t in texts]
+    n = Counter(tuple(w[i - k : i + 1]) for w, out in zip(split, held) if not out for i in range(len(w)) for k in range(min(i, depth) + 1))
+    total, distinct = sum(v for g, v in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+
+    def chance(gram, own):
+        """With `own` occurrences left out behind a context of one word or more."""
+        if len(gram) == 1:
+            return (n[gram] + 0.5) / (total + 0.5 * (distinct + 1))
+        return (n[gram] - own + prior * chance(gram[1:], own)) / (n[gram[:-1]] - own + prior)
+
+    gain = Counter()
+    for gram, times in n.items():
+        if len(gram) > 1 and n[gram[:-1]] >= least:
+            gain[gram[:-1]] += times * math.log(chance(gram, 1) / chance(gram[1:], 1))
+    kept = {c for c, g in gain.items() if g > suffix_tree_lm.MIN_GAIN}
+
+    def score(words):
+        out = 0.0
+        for i in range(len(words)):
+            longest = max((k for k in range(1, min(i, depth) + 1) if tuple(words[i - k : i]) in kept), default=0)
+            out += math.log10(chance(tuple(words[i - longest : i + 1]), 0))
+        return out
+
+    return [score(w) for w in split], kept
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 6])
+def test_scores_are_those_of_the_whole_suffix_tree(spark, monkeypatch, depth):
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_TOKENS", 400)
+    rng = random.Random(depth)
+    words = [f"w{k}" for k in range(40)]
+    # what follows the shared words depends on the word before them, `depth` words back
+    shared = [rng.choice(words) for _ in range(depth - 1)]
+    lines = [[f"x{j}", *shared, f"y{j}"] for j in range(6)] + [[rng.choice(words) for _ in range(12)] for _ in range(3)]
+    said = [" ".join(w for _ in range(rng.randint(0, 4)) for w in (rng.choice(lines) if rng.random() < 0.5 else rng.choices(words, k=9))) for _ in range(150)]
+    said += said[:10]
+    held = [k % 5 == 1 for k in range(len(said))]
+    docs = frame(spark, [(k, t, None, None, None) for k, t in enumerate(said)]).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score_texts(docs, Scratch(spark, "t"), held_out=F.col("doc_id") % 5 == 1, depth=depth).collect()}
+    want, kept = suffix_tree_scores(said, held, depth)
+    assert max(map(len, kept)) == depth
+    assert [got[k] for k in range(len(said))] == pytest.approx(want)
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(3)
+    said = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(60)) for _ in range(60)]
+    rows = [(k, t, None, None, None) for k, t in enumerate(said + said[:20])]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_tree_lm.score_texts(frame(spark, rows), Scratch(spark, "t")).collect()}
+    assert min(got[k] for k in range(20)) > max(got[k] for k in range(20, 60))
+
+
 # -- language identification
 
 
