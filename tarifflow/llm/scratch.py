@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """What is written here is read from its table later, so the shuffle files behind it go when the job ends instead of when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder; each cuts lineage and survives lost executors."""
 
@@ -34,7 +47,8 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = self._path()
-        df.write.parquet(path)
+        with _shuffle_files_go(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -44,7 +58,8 @@ class Scratch:
         path, name = self._path(), f"scratch_{uuid.uuid4().hex}"
         buckets = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         try:
-            df.write.bucketBy(min(buckets, 100_000), column).sortBy(column).option("path", path).saveAsTable(name)
+            with _shuffle_files_go(self.spark):
+                df.write.bucketBy(min(buckets, 100_000), column).sortBy(column).option("path", path).saveAsTable(name)
         except BaseException:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             raise
