@@ -145,9 +145,17 @@ class Block:
             before = counts
 
     def contexts(self, k: int, answers: dict) -> np.ndarray:
-        """Which n-grams of the level before are contexts of level k that may be kept."""
+        """Which n-grams of the level before are contexts of level k that may be kept.
+
+        One that occurs twice, before different symbols, can't be: its divergence is
+        2 log(PRIOR / (PRIOR + 1)).  A block that sees one of the two needs no answer.
+        """
         before, level = self.levels[k - 1], self.levels[k]
-        return (np.bincount(level.context, minlength=len(before.keys)) > 0) & (answers.get(k - 1, np.zeros(0)) >= MIN_CONTEXT)
+        times = answers.get(k - 1, np.zeros(0))
+        may = (np.bincount(level.context, minlength=len(before.keys)) > 0) & (times >= MIN_CONTEXT)
+        once = answers.get(k, np.zeros(0))[level.index] == 1
+        may[level.context[once & (times[level.context] == 2)]] = False
+        return may
 
     def gains(self, answers: dict, total: float, distinct: float):
         """(kind, sorted keys, this block's part of each context's divergence)."""
