@@ -91,5 +91,88 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", op.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_quality)}
-ORACLES: dict[str, str] = {}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids as op
+    from .scratch import Scratch
+
+    return op.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op11"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding as op
+    from .scratch import Scratch
+
+    return op.assign(documents(spark, sf_dir), Scratch(spark, "op12"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical_search as op
+    from .scratch import Scratch
+
+    return op.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "op13"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_language_id, op4_embedding_dedup, op5_packing, op6_chat_format, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_quality, op11_centroids, op12_sharding, op13_lexical_search)}
+
+_SQUARED = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_NEAREST = f"SELECT k.r, any_value(k.v) AS v, min(struct_pack(d := {_SQUARED}, c := c.c)) AS m FROM kept k, c{{n}} c GROUP BY k.r"
+_MOVED = """SELECT old.c, coalesce(new.v, old.v) AS v FROM c{n} old LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+        FROM (SELECT m.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, range(1, 65) t(i) GROUP BY m.c, i) GROUP BY c) new ON new.c = old.c"""
+_ROUNDS = ",\n".join(f"a{n} AS ({_NEAREST.format(n=n)}), c{n + 1} AS ({_MOVED.format(n=n)})" for n in range(3))
+
+_OP11 = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{_ROUNDS},
+a3 AS ({_NEAREST.format(n=3)})
+SELECT vec_id, CAST(m.c AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance,
+    CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 ON c3.c = m.c"""
+
+_OP12 = """
+WITH RECURSIVE digits AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)),
+bytes AS (
+    SELECT doc_id, strlen(said) + 8 AS size, md5(said) AS text_md5,
+        list_transform(regexp_extract_all(hex(encode(said)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b
+    FROM (SELECT doc_id, coalesce(text, '') AS said FROM documents)),
+docs AS (
+    SELECT doc_id, size, text_md5,
+        xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+    FROM bytes, digits),
+groups AS (
+    SELECT text_md5, group_bytes, row_number() OVER (ORDER BY group_bytes DESC, text_md5) AS n
+    FROM (SELECT text_md5, sum(size) AS group_bytes FROM docs GROUP BY text_md5)),
+placed AS (
+    SELECT CAST(0 AS BIGINT) AS n, '' AS text_md5, CAST(0 AS BIGINT) AS shard, list_transform(range(24), lambda i: CAST(0 AS BIGINT)) AS loads
+    UNION ALL
+    SELECT g.n, g.text_md5, list_position(p.loads, list_min(p.loads)) - 1,
+        list_transform(p.loads, lambda x, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN x + CAST(g.group_bytes AS BIGINT) ELSE x END)
+    FROM placed p JOIN groups g ON g.n = p.n + 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_md5) - 1 AS slot,
+    CAST(NULL AS INT) AS grown_shard, CAST(group_bytes AS BIGINT) AS group_bytes, text_md5
+FROM docs JOIN groups USING (text_md5) JOIN placed USING (text_md5)"""
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = f"""
+WITH said AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+held AS (SELECT *, CAST(len(terms) AS BIGINT) AS n FROM said WHERE len(terms) > 0),
+total AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS terms FROM held),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * texts + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), total),
+scored AS (
+    SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * texts) // total.terms)))) AS BIGINT) AS score
+    FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN held USING (r), total GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES = {"op11_centroids": _OP11, "op12_sharding": _OP12, "op13_lexical_search": _OP13}
