@@ -17,7 +17,9 @@ size is known; every slice reads the documents again.
 Defined results: null and empty documents match nothing; items of fewer than MIN_WORDS
 words are too short to tell from chance and match nothing.  Ties between items: each
 (document, item) pair has its own row.  Repeated documents give repeated rows, repeated
-items too.  Extra columns are ignored.
+items too; documents that share an id or have none are judged each by its own text.
+Whole texts are read, in slices: a text stands in one slice and takes about 50 bytes of
+memory a byte.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,12 +190,15 @@ def _regions(place: np.ndarray, key: np.ndarray, text: np.ndarray, at: np.ndarra
         yield int(owner[i]), int(which[i]), int(start[i]), int(end[j - 1])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score (share of a whole copy's), first_word, end_word of the best passage: one row per document and item that it leaks."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, id_type: str = "bigint") -> DataFrame:
+    """doc_id, item_id, score (share of a whole copy's), first_word, end_word of the best passage: one row per document and item that it leaks.
+
+    With `id_type` string, documents may be named by what tells their texts apart.
+    """
     if threshold * MIN_WORDS <= 1:
         raise ValueError("a leak of this threshold may be a single word")
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.col(text).alias("text"))
     tests = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = int(-(-size // (MAX_SLICE_BYTES // 2))) or 1
@@ -236,7 +241,7 @@ def _leaks_of(spark, texts: DataFrame, items: Items, threshold: float) -> DataFr
             aligned()
             rows = [(ids[d], items.ids[k], -s, a, b) for (d, k), (s, a, b) in sorted(best.items())]
             columns = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            types = (batch.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return texts.mapInArrow(search, "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint")
+    return texts.mapInArrow(search, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id bigint, score double, first_word bigint, end_word bigint")

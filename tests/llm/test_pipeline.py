@@ -11,7 +11,7 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 
 @pytest.mark.parametrize("name", sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])))
 def test_query_covers_its_table(spark, name):
-    table, key = {"op4_embedding_dedup": ("embeddings", "vec_id"), "op6_chat_format": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    table, key = {"op4_embedding_dedup": ("embeddings", "vec_id"), "op11_centroids": ("embeddings", "vec_id"), "op6_chat_format": ("conversations", "conv_id"), "op13_lexical_search": ("benchmark", "item_id")}.get(name, ("documents", "doc_id"))
     want = {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).distinct().collect()}
     got = {r[0] for r in QUERIES[name](spark, DATA).select(key).distinct().collect()}
     assert got <= want if name.startswith("op9") else got == want | ({-1} if name.startswith("op6") else set())
@@ -41,6 +41,14 @@ def test_stages(spark):
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, DATA).collect()} == {1, 4, None}
 
 
+def test_leaks_of_clashing_and_missing_ids(spark):
+    leak = f"before {spark.read.parquet(f'{DATA}/benchmark.parquet').first()['text']} after"
+    clean = "trains leave the station every hour and nobody knows why the last of them is always late in the winter"
+    rows = [(None, leak, "en", "a", 1), (7, leak, "en", "a", 1), (7, clean, "en", "a", 1), (8, clean, "en", "a", 1), (7, None, None, None, None), (None, "", None, None, None), (9, "and " * 50_000, "en", "a", 1)]
+    got = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, DOCUMENTS), DATA).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows[2:], key=repr)
+
+
 def test_near_duplicates_of_clashing_and_missing_ids(spark):
     one = "the garden of the old house was full of roses and the children played there all day until the evening came"
     two = "trains leave the station every hour and nobody knows why the last of them is always late in the winter"
