@@ -8,7 +8,7 @@ of documents.  Empty tables pass through every stage.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifflow.llm import decontaminate, hd_language, ngram_join, packing, secret_scan
@@ -52,15 +52,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same = F.col("doc_id").eqNullSafe(F.col("again"))
     keys = groups.join(again, same, "left_semi").select(F.col("doc_id").alias("again"), F.col("text_digest").alias("again_digest"), F.coalesce("group_key", "text_digest").alias("again_group")).distinct()
     repeated = kept.join(keys, same & (F.col(digest) == F.col("again_digest")))
-    place = F.row_number().over(Window.partitionBy("doc_id", "again_group").orderBy(digest, *docs.columns)).alias("again_place")
-    once = repeated.select("*", place).where("again_place = 1").select(*docs.columns)
+    row = F.struct(digest, *docs.columns)
+    once = repeated.groupBy("doc_id", "again_group").agg(F.min(row).alias("again_row")).select("again_row.*").select(*docs.columns)
     return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text holds no test item, whatever their ids: those may be missing or shared. Null texts stay."""
+    digest = _new(docs, "text_sha256")
+    named = docs.withColumn(digest, F.sha2(F.col("text").cast("binary"), 256))
+    leaks = decontaminate.find_leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=digest, id_type="string")
+    return named.join(leaks.select(F.col("doc_id").alias(digest)).distinct(), digest, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
