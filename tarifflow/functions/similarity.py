@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import edit
 from .text import let
 
 #: Words that say little about a service, and the weights of the combined score.
@@ -63,8 +65,7 @@ def search_similarity(left: Column, right: Column) -> Column:
     return _sets(search_trigrams(left), search_trigrams(right), lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-# -- edit similarities: longest common subsequences need a table per pair, so they run as
-# -- Arrow-batched functions over distinct pairs
+# -- edit similarities: the definitions, for one pair; `edit` has them for many at once
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -134,14 +135,20 @@ def scores_of(a: str, b: str) -> tuple[float, float, float, float]:
     return weighted_of(a, b, *rest), *rest
 
 
+def _pairs(left: pd.Series, right: pd.Series, use) -> np.ndarray:
+    """use(left names, right names, i, j) of a batch, each name prepared once."""
+    (i, one), (j, two) = (pd.factorize(x.fillna(""), use_na_sentinel=False) for x in (left, right))
+    return use(edit.Names(list(one)), edit.Names(list(two)), i, j)
+
+
 @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in SCORERS]))
 def edit_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([scores_of(a or "", b or "") for a, b in zip(left, right)], columns=SCORERS)
+    return pd.DataFrame(_pairs(left, right, edit.scores), columns=SCORERS)
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([indel(a or "", b or "") for a, b in zip(left, right)])
+    return pd.Series(_pairs(left, right, lambda a, b, i, j: edit.ratio(edit.subsequences(a, b, i, j), a.text.sizes[i], b.text.sizes[j])))
 
 
 @F.pandas_udf(T.StringType())
@@ -151,7 +158,7 @@ def three_places(scores: pd.Series) -> pd.Series:
 
 
 def combined_score(left: Column, right: Column, scores: Column, fuzzy: Column) -> Column:
-    """The weighted score of a candidate, 4 places; `scores` from edit_scores."""
+    """The weighted score of a candidate, 4 places; `scores` has the edit similarities."""
     parts = {"fuzzy": fuzzy, "token_set": scores["token_set"], "token_sort": scores["token_sort"], "partial": scores["partial"]}
     parts |= {"jaccard": token_jaccard(left, right), "coverage": token_coverage(left, right), "trigram": trigram_cosine(left, right)}
     total = F.lit(0.0)

@@ -1,9 +1,8 @@
 """Matching of raw names with a service catalogue: code, exact name, then similarity.
 
 Names are normalised once each.  Code and exact matches are equi-joins with the
-catalogue; only distinct names without either are compared with its names, all with all.
-A catalogue of at most `broadcast_bytes` is broadcast for that, a larger one dealt out in
-parts of about that size.  Only an option restricts it to the pairs that share a trigram.
+catalogue; only distinct names without either are compared with its names.  Their first
+candidates come from `candidates`, which scores few of the pairs and loses none.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import similarity as S
+from .candidates import nearest
 
 AUTO, REVIEW, CANDIDATES = 0.78, 0.55, 30
 CODE_SCORE = 0.98
@@ -59,20 +59,20 @@ def with_normalized(items: DataFrame, name: str, result: str, normalize=N.normal
 
 
 def top_candidates(scored: DataFrame, query: str = "query", choice: str = "choice", order: str = "ordinal", limit: int = CANDIDATES, scorers=tuple(S.SCORERS)) -> DataFrame:
-    """(query, choice, fuzzy, …): the first of each scorer, then the first by the best score."""
+    """(query, choice, fuzzy, …): the first of each scorer, then the first by the best score. Equal scores go by `order`, then by the choice."""
     best = F.lit(None).cast("double")
-    ranked = scored
+    ranked, ties = scored, dict.fromkeys((order, choice))
     for name in scorers:
-        ranked = ranked.withColumn(f"_{name}", F.row_number().over(W.partitionBy(query).orderBy(F.desc(name), order)))
+        ranked = ranked.withColumn(f"_{name}", F.row_number().over(W.partitionBy(query).orderBy(F.desc(name), *ties)))
         taken = F.when(F.col(f"_{name}") <= limit, F.col(name))
         best = F.greatest(best, taken)
     merged = ranked.withColumn("fuzzy", best).where("fuzzy IS NOT NULL").drop(*(f"_{n}" for n in scorers))
-    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc("fuzzy"), order))
+    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc("fuzzy"), *ties))
     return merged.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def candidate_pairs(queries: DataFrame, choices: DataFrame, broadcast_bytes: int = 8 << 20, blocked: bool | None = None) -> DataFrame:
-    """(query, choice, …) pairs to score: all with all, or if `blocked` those that share a trigram."""
+    """(query, choice, …) pairs: all with all, or if `blocked` those that share a trigram. A catalogue of at most `broadcast_bytes` is broadcast, a larger one dealt out in parts."""
     if not blocked:
         size = choices.agg(F.sum(F.octet_length("choice") + 64)).first()[0] or 0
         if size <= broadcast_bytes:
@@ -91,9 +91,8 @@ def status_of(score: Column, auto: float = AUTO, review: float = REVIEW) -> Colu
 
 def fuzzy_matches(queries: DataFrame, choices: DataFrame, auto: float = AUTO, review: float = REVIEW, limit: int = CANDIDATES) -> DataFrame:
     """(query, service_id, service_name, category, score, status, method, reason) for distinct normalized names."""
-    pairs = candidate_pairs(queries, choices).withColumn("s", S.edit_scores("query", "choice"))
-    top = top_candidates(pairs.select("*", "s.*"), limit=limit)
-    scored = top.withColumn("score", S.combined_score(F.col("query"), F.col("choice"), F.col("s"), F.col("fuzzy")))
+    top = top_candidates(nearest(queries, choices, limit), limit=limit)
+    scored = top.withColumn("score", S.combined_score(F.col("query"), F.col("choice"), F.struct(*S.SCORERS), F.col("fuzzy")))
     # the first of the best; candidates of score 0 are none
     best = scored.where("score > 0").groupBy("query").agg(F.max_by(F.struct("service_id", "service_name", "category", "score"), F.struct(F.col("score"), -F.col("place"))).alias("b"))
     status = status_of(F.col("b.score"), auto, review)

@@ -19,6 +19,7 @@ from ..operators import matching as J
 from ..operators import store
 from ..operators import tables as T
 from ..operators import validate as V
+from ..operators.candidates import nearest
 from ..sources.catalog import split_synonyms
 from . import endpoints as E
 
@@ -477,7 +478,7 @@ def indel_ratio(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("query", "choice", F.round(S.indel_ratio("query", "choice"), 6).alias("ratio"))
 
 
-def _matched(spark, sf_dir):
+def _asked(spark, sf_dir):
     # a third of the items have no code, and some names are misspelled
     rows = items(spark, sf_dir).drop("service_id").withColumns(
         {
@@ -486,7 +487,11 @@ def _matched(spark, sf_dir):
         }
     )
     catalogue = services(spark, sf_dir).withColumns({"ordinal": F.col("service_id"), "service_id": F.col("service_id").cast("string"), "synonyms": F.array(F.concat(F.lit("new "), "service_name"))})
-    return J.match(rows, catalogue)
+    return rows, catalogue
+
+
+def _matched(spark, sf_dir):
+    return J.match(*_asked(spark, sf_dir))
 
 
 _SCORERS = ("weighted", "token_set", "token_sort", "partial")
@@ -531,6 +536,16 @@ matched AS (SELECT item_id, raw, query AS normalized_name, CAST(id AS VARCHAR) A
   FROM stated LEFT JOIN service s ON s.service_id = id LEFT JOIN service n ON n.service_id = near_id)"""
 
 
+@query(f"WITH RECURSIVE {_CASCADE.replace('DESC, ordinal)', 'DESC, ordinal, choice)')} SELECT query, choice, ordinal, fuzzy, token_set, token_sort, partial, CAST(place AS INT) AS place FROM placed WHERE place <= 30")
+def fuzzy_candidates(spark, sf_dir):
+    rows, catalogue = _asked(spark, sf_dir)
+    choices = J.name_index(catalogue)
+    names = J.distinct_normalized(rows, "service_name_raw", "query").select("query").where("query <> ''").distinct()
+    open_names = names.join(choices.select(F.col("choice").alias("query")), "query", "left_anti")
+    top = J.top_candidates(nearest(open_names, choices, J.CANDIDATES))
+    return top.select("query", "choice", "ordinal", "fuzzy", "token_set", "token_sort", "partial", "place")
+
+
 @query(f"WITH RECURSIVE {_CASCADE} SELECT item_id, normalized_name, service_id, service_name, score, status, method, reason FROM matched")
 def match_cascade(spark, sf_dir):
     return _matched(spark, sf_dir).select("item_id", "normalized_name", "service_id", "service_name", "score", "status", "method", "reason")
