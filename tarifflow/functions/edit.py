@@ -196,11 +196,16 @@ def ends(left: Texts, right: Texts, i: np.ndarray, j: np.ndarray) -> tuple[np.nd
     return common, best
 
 
-def windows(left: Texts, right: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Best ratio of the shorter text with a window of its length in the longer one."""
+def windows(left: Texts, right: Texts, i: np.ndarray, j: np.ndarray, step: np.ndarray | None = None) -> np.ndarray:
+    """Best ratio of the shorter text with a window of its length in the longer one.
+
+    With `step`, the most that it can be: runs hold so many windows each.
+    """
     matcher, out = Matcher(left, right), np.zeros(len(i))
     m, n = left.sizes[i], right.sizes[j]
-    short, count = np.minimum(m, n), np.abs(m - n) + 1
+    step = np.ones(len(i), np.int64) if step is None else step
+    short, long = np.minimum(m, n), np.maximum(m, n)
+    count = (long - short) // step + 1
     cuts, upto, a = [0], np.cumsum(count), 0
     while a < len(i):
         a = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + ENTRIES, side="right")))
@@ -208,8 +213,11 @@ def windows(left: Texts, right: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarr
     for a, b in zip(cuts[:-1], cuts[1:]):
         owner, shift = _spread(count[a:b])
         owner += a
-        longer = n[owner] > m[owner]  # the text is
-        held = matcher.common(i[owner], np.where(longer, 0, shift), short[owner], right.starts[j[owner]] + np.where(longer, shift, 0), short[owner])
+        shift *= step[owner]
+        size = np.minimum(short[owner] + step[owner] - 1, long[owner] - shift)
+        of_text = n[owner] > m[owner]
+        runs = (np.where(of_text, 0, shift), np.where(of_text, m[owner], size)), (np.where(of_text, shift, 0), np.where(of_text, size, n[owner]))
+        held = matcher.common(i[owner], *runs[0], right.starts[j[owner]] + runs[1][0], runs[1][1])
         np.maximum.at(out, owner, ratio(held, short[owner], short[owner]))
     return out
 
@@ -273,5 +281,6 @@ def _ratios(left: Names, right: Names, i: np.ndarray, j: np.ndarray) -> np.ndarr
     m, n = left.text.sizes[i], right.text.sizes[j]
     common, at_ends = ends(left.text, right.text, i, j)
     short = np.minimum(m, n)
-    most = np.where(short > 0, np.maximum(ratio(common, short, short), at_ends), (m == n).astype(float))
+    inner = windows(left.text, right.text, i, j, np.maximum(short // 2, 1))
+    most = np.where(short > 0, np.maximum(inner, at_ends), (m == n).astype(float))
     return np.stack((ratio(common, m, n), ratio(whole(left.sorted, right.sorted, i, j), left.sorted.sizes[i], right.sorted.sizes[j]), most), axis=1)

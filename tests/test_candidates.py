@@ -77,7 +77,7 @@ def test_search_equals_all_pairs():
 
 def test_few_pairs_of_a_large_catalogue_are_scored():
     rng = random.Random(2)
-    choices = random_names(rng, 130_000)
+    choices = random_names(rng, 140_000)
     queries = [misspelled(rng, n) for n in rng.sample(choices, 4)] + [misspelled(rng, n) for n in random_names(rng, 4)]
     assert len(choices) >= 100_000
     index = candidates.Index(choices)
