@@ -281,6 +281,6 @@ def _ratios(left: Names, right: Names, i: np.ndarray, j: np.ndarray) -> np.ndarr
     m, n = left.text.sizes[i], right.text.sizes[j]
     common, at_ends = ends(left.text, right.text, i, j)
     short = np.minimum(m, n)
-    inner = windows(left.text, right.text, i, j, np.maximum(short // 2, 1))
+    inner = windows(left.text, right.text, i, j, np.maximum(short // 8, 1))
     most = np.where(short > 0, np.maximum(inner, at_ends), (m == n).astype(float))
     return np.stack((ratio(common, m, n), ratio(whole(left.sorted, right.sorted, i, j), left.sorted.sizes[i], right.sorted.sizes[j]), most), axis=1)

@@ -142,10 +142,16 @@ class Index:
         return np.stack((edit.weighted(edit.ratio(common, m, n), bounds[1], bounds[2], most, m, n), bounds[1], bounds[2], most))
 
     def _by_ends(self, names: edit.Names, k: int, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bounds that know the windows at the ends and the sorted words."""
+        """Bounds that know the sorted words, the windows at the ends, and runs of a few windows each."""
         ratio, sort, most = edit.ratios(names, self.names, np.full(len(rows), k), rows).T
         m, n = names.text.sizes[k], self.names.text.sizes[rows]
-        return np.stack((edit.weighted(ratio, bounds[1], sort, most, m, n), bounds[1], sort, most))
+        # without common and repeated words the words as sets are the sorted words
+        apart = np.ones(len(self.words), bool)
+        for word in names.words[k]:
+            apart[self.holding.get(word, [])] = False
+        apart = apart[rows] & (names.sorted.sizes[k] == names.distinct.sizes[k]) & (self.names.sorted.sizes[rows] == self.names.distinct.sizes[rows])
+        sets = np.where(apart & (bounds[1] > 0), sort, bounds[1])
+        return np.stack((edit.weighted(ratio, sets, sort, most, m, n), sets, sort, most))
 
     @staticmethod
     def _may(rows: np.ndarray, bounds: np.ndarray, scored: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray:
