@@ -7,6 +7,7 @@ as for old .xls files, a document has an error that says so.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -26,6 +27,16 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _COLUMN = re.compile("[A-Z]+")
 
+#: Built-in number formats that show a date or a time, and the one that shows a duration.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+DURATION_FORMATS = (46,)
+#: What a format shows as it stands: quoted, escaped, spaced or filled characters, and brackets other than [h], [m], [s].
+_LITERAL = re.compile(r'"[^"]*"|\\.|[_*].|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.IGNORECASE)
+_DURATION = re.compile(r"\[(h+|m+|s+)\]", re.IGNORECASE)
+#: Day 0 of both calendars; the first counts a 29 February 1900 that never was.
+EPOCHS = {"1900": dt.datetime(1899, 12, 30), "1904": dt.datetime(1904, 1, 1)}
+NO_DATE = "#VALUE!"
+
 
 def _column(reference: str) -> int:
     n = 0
@@ -38,6 +49,63 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
 
+def shown_as(number: int, code: str | None) -> str | None:
+    """date, duration or None (a number) of a format's number and, if it isn't built in, its code."""
+    if code is None:
+        return "duration" if number in DURATION_FORMATS else "date" if number in DATE_FORMATS else None
+    first = _LITERAL.sub("", code.split(";")[0])
+    return "duration" if _DURATION.search(first) else "date" if re.search("[dmyhs]", first, re.IGNORECASE) else None
+
+
+def style_kinds(content: bytes) -> list[str | None]:
+    """What each cell style shows its numbers as."""
+    root = ElementTree.fromstring(content)
+    codes = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_MAIN}numFmt")}
+    used = root.find(f"{_MAIN}cellXfs")
+    numbers = [] if used is None else [int(x.get("numFmtId") or 0) for x in used.findall(f"{_MAIN}xf")]
+    return [shown_as(n, codes.get(n)) for n in numbers]
+
+
+def date_text(serial: float, kind: str, epoch: dt.datetime) -> str:
+    """A serial number as the date, time of day or duration that it stands for; as an error if it stands for none."""
+    days, part = divmod(serial, 1)
+    rest = dt.timedelta(milliseconds=round(part * 86_400_000))
+    try:
+        if kind == "duration":
+            return str(dt.timedelta(days=days) + rest)
+        if 0 <= serial < 1 and not rest.days:
+            return str((dt.datetime.min + rest).time())
+        if 0 < serial < 60 and epoch == EPOCHS["1900"]:
+            days += 1
+        return str(epoch + dt.timedelta(days=days) + rest)
+    except OverflowError:
+        return NO_DATE
+
+
+def iso_text(text: str) -> str:
+    """A date, time of day or both in ISO form, as text of the value."""
+    for kind in (dt.date, dt.time, dt.datetime):
+        try:
+            return str(kind.fromisoformat(text.removesuffix("Z")))
+        except ValueError:
+            continue
+    raise ValueError(f"no date: {text}")
+
+
+def cell_text(kind: str, text: str, shown: str | None, strings: list[str], epoch: dt.datetime) -> str:
+    """The text of a cell's value: numbers as numbers, whatever their notation in the file, and dates by their format."""
+    if kind == "s":
+        return strings[int(text)]
+    if kind == "b":
+        return str(bool(int(text)))
+    if kind == "d":
+        return iso_text(text)
+    if kind != "n":  # strings of formulas, errors
+        return text
+    number = float(text) if re.search("[.eE]", text) else int(text)
+    return str(number) if shown is None else date_text(number, shown, epoch)
+
+
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row from 0, cells) of every sheet, values only; rows left out of the file are empty."""
     archive = zipfile.ZipFile(io.BytesIO(content))
@@ -45,8 +113,12 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]
     strings = []
     if "xl/sharedStrings.xml" in names:
         strings = [_text(s) for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    kinds = style_kinds(archive.read("xl/styles.xml")) if "xl/styles.xml" in names else []
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    about = book.find(f"{_MAIN}workbookPr")
+    epoch = EPOCHS["1904" if about is not None and about.get("date1904") in ("1", "true") else "1900"]
+    for sheet in book.iter(f"{_MAIN}sheet"):
         target = targets[sheet.get(f"{_REL}id")].lstrip("/")
         place = 0
         for _, row in ElementTree.iterparse(io.BytesIO(archive.read(target if target.startswith("xl/") else f"xl/{target}"))):
@@ -59,17 +131,13 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]
             for cell in row.iter(f"{_MAIN}c"):
                 k = _column(cell.get("r")) if cell.get("r") else len(cells)
                 cells += [None] * (k - len(cells))
-                kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
+                kind, value, style = cell.get("t") or "n", cell.find(f"{_MAIN}v"), int(cell.get("s") or 0)
                 if kind == "inlineStr":
                     cells.append(_text(cell))
-                elif value is None or value.text is None:
+                elif value is None or not value.text:
                     cells.append(None)
-                elif kind == "s":
-                    cells.append(strings[int(value.text)])
-                elif kind == "b":
-                    cells.append("True" if value.text == "1" else "False")
                 else:
-                    cells.append(value.text)
+                    cells.append(cell_text(kind, value.text, kinds[style] if style < len(kinds) else None, strings, epoch))
             yield sheet.get("name"), at, cells
             row.clear()
 
@@ -82,15 +150,29 @@ def _body(content: bytes):
     return ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_WORD}body")
 
 
+def _number(node, path: str, default: int) -> int:
+    found = node.find("/".join(f"{_WORD}{p}" for p in path.split("/")))
+    return default if found is None else int(found.get(f"{_WORD}val") or default)
+
+
 def document_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(table, row from 0, cells) of every table of the body; a cell over several columns counts for each."""
+    """(table, row from 0, cells) of every table of the body.
+
+    A cell over several columns counts for each; one that goes on from the row above has that row's cell, with its columns.
+    """
     for number, table in enumerate(_body(content).findall(f"{_WORD}tbl")):
+        above: dict[int, tuple[str, int]] = {}
         for k, row in enumerate(table.findall(f"{_WORD}tr")):
-            cells = []
+            cells, at, here = [], _number(row, "trPr/gridBefore", 0), {}
             for cell in row.findall(f"{_WORD}tc"):
-                span = cell.find(f"{_WORD}tcPr/{_WORD}gridSpan")
-                text = "\n".join(_paragraph(p) for p in cell.findall(f"{_WORD}p"))
-                cells += [text] * (int(span.get(f"{_WORD}val")) if span is not None else 1)
+                span, merge = _number(cell, "tcPr/gridSpan", 1), cell.find(f"{_WORD}tcPr/{_WORD}vMerge")
+                held = "\n".join(_paragraph(p) for p in cell.findall(f"{_WORD}p")), span
+                if merge is not None and merge.get(f"{_WORD}val", "continue") == "continue":
+                    held = above.get(at, held)
+                here[at] = held
+                cells += [held[0]] * held[1]
+                at += span
+            above = here
             yield f"table {number + 1}", k, cells
 
 
