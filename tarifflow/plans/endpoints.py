@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..operators import trigram_index
 
 
 def services(service: DataFrame, category: str | None = None) -> DataFrame:
@@ -29,12 +30,20 @@ def partner_services(items: DataFrame, service: DataFrame, partner_id) -> DataFr
     return rows.join(service.select("service_id", "service_name", "category"), "service_id").select("service_id", "service_name", "category", "price_resident_kzt", "price_nonresident_kzt", "effective_date")
 
 
-def search(service: DataFrame, partner: DataFrame, text: str, least: float = 0.3, limit: int | None = None) -> DataFrame:
-    """Services and partners with a name similar to `text`, the best first."""
-    named = service.select(F.lit("service").alias("kind"), F.col("service_id").cast("string").alias("id"), F.col("service_name").alias("name"))
-    named = named.unionByName(partner.select(F.lit("partner").alias("kind"), F.col("partner_id").cast("string").alias("id"), "name"))
+def named(service: DataFrame, partner: DataFrame) -> DataFrame:
+    """(kind, id, name) of services and partners."""
+    services = service.select(F.lit("service").alias("kind"), F.col("service_id").cast("string").alias("id"), F.col("service_name").alias("name"))
+    return services.unionByName(partner.select(F.lit("partner").alias("kind"), F.col("partner_id").cast("string").alias("id"), "name"))
+
+
+def search(service: DataFrame, partner: DataFrame, text: str, least: float = 0.3, limit: int | None = None, index: str | None = None) -> DataFrame:
+    """Services and partners with a name similar to `text`, the best first; by a stored index of their names if there is one."""
+    if index is not None:
+        spark = service.sparkSession
+        found = trigram_index.search(spark, index, spark.sql("SELECT :text AS text", args={"text": text}), least).drop("text")
+        return found.orderBy(F.desc("similarity"), "kind", "id").limit(limit) if limit else found
     # only names that share a trigram can be similar
-    found = named.where(F.arrays_overlap(S.search_trigrams(F.col("name")), S.search_trigrams(F.lit(text))))
+    found = named(service, partner).where(F.arrays_overlap(S.search_trigrams(F.col("name")), S.search_trigrams(F.lit(text))))
     found = found.withColumn("similarity", S.search_similarity(F.col("name"), F.lit(text))).where(F.col("similarity") >= least)
     return found.orderBy(F.desc("similarity"), "kind", "id").limit(limit) if limit else found
 

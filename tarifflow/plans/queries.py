@@ -18,9 +18,11 @@ from ..operators import lines as L
 from ..operators import matching as J
 from ..operators import store
 from ..operators import tables as T
+from ..operators import trigram_index
 from ..operators import validate as V
 from ..operators.candidates import nearest
 from ..sources.catalog import split_synonyms
+from ..sources.shared import new_folder
 from . import endpoints as E
 
 AS_OF = "2000-01-01"
@@ -615,6 +617,20 @@ def trigram_search(spark, sf_dir):
     return E.search(services(spark, sf_dir), partners(spark, sf_dir), "red widgets")
 
 
+@query(f"""WITH {_SERVICE}, {_PARTNER}, named AS (SELECT 'service' AS kind, CAST(service_id AS VARCHAR) AS id, service_name AS name FROM service UNION ALL SELECT 'partner', CAST(partner_id AS VARCHAR), name FROM partner),
+said AS (SELECT DISTINCT name FROM named), asked AS (SELECT DISTINCT translate(p_name, 'ei', 'ie') || ' ' || p_type AS q FROM part UNION SELECT DISTINCT 'partner ' || s_name FROM supplier),
+g AS {_PADDED.format(k='name', c='name', t='said')}, h AS {_PADDED.format(k='q', c='q', t='asked')}, m AS (SELECT name, count(*) AS n FROM g GROUP BY 1), k AS (SELECT q, count(*) AS n FROM h GROUP BY 1),
+shared AS (SELECT q, name, count(*) AS common FROM g JOIN h ON g.g = h.g GROUP BY 1, 2),
+near AS (SELECT q, name, common / (m.n + k.n - common) AS similarity FROM shared JOIN m USING (name) JOIN k USING (q))
+SELECT q AS text, kind, id, name, similarity FROM near JOIN named USING (name) WHERE similarity >= 0.3""")
+def indexed_search(spark, sf_dir):
+    path = new_folder(spark, "trigram-index")
+    trigram_index.build(E.named(services(spark, sf_dir), partners(spark, sf_dir)), path)
+    asked = table(spark, sf_dir, "part").select(F.concat(F.translate("p_name", "ei", "ie"), F.lit(" "), "p_type").alias("text"))
+    asked = asked.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("partner "), "s_name")))
+    return trigram_index.search(spark, path, asked)
+
+
 @query(f"WITH {_ITEM} SELECT * FROM item WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def fk_cascade(spark, sf_dir):
     parents = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
