@@ -23,7 +23,9 @@ from ..operators import validate as V
 from ..operators.candidates import nearest
 from ..sources.catalog import split_synonyms
 from ..sources.shared import new_folder
+from ..sources.snapshots import Table
 from . import endpoints as E
+from . import relational as R
 
 AS_OF = "2000-01-01"
 QUERIES: dict = {}
@@ -643,6 +645,71 @@ def fk_set_null(spark, sf_dir):
     return store.set_null(items(spark, sf_dir).select("item_id", "partner_id", "price_resident_kzt"), parents, "partner_id")
 
 
+# items as they come to the store, with rows that break a rule each
+_INCOMING = """incoming AS (SELECT concat_ws('-', item_id, partner_id, price_resident_kzt, effective_date) AS item_id, item_id AS n, CASE WHEN item_id % 83 = 0 THEN -1 ELSE doc_id END AS doc_id, partner_id,
+  CASE WHEN item_id % 97 <> 0 THEN service_name_raw END AS service_name_raw, service_id, CASE WHEN item_id % 79 = 0 THEN 1e15 ELSE CAST(price_original AS DOUBLE) END AS price_original,
+  CASE WHEN item_id % 89 = 0 THEN 'EUR' WHEN item_id % 5 = 0 THEN 'USD' END AS currency_original, CASE WHEN item_id % 7 <> 0 THEN effective_date END AS effective_date, is_active FROM item)"""
+_JUDGED = f"""{_ITEM}, {_INCOMING},
+ruled AS (SELECT *, list_filter([CASE WHEN price_original >= 1e12 THEN 'type of price_original' END, CASE WHEN service_name_raw IS NULL THEN 'service_name_raw is null' END, CASE WHEN currency_original = 'EUR' THEN 'value of currency_original' END,
+  CASE WHEN doc_id NOT IN (SELECT o_orderkey FROM orders) THEN 'doc_id without a row' END], lambda v: v IS NOT NULL) AS rules FROM incoming),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY partner_id, service_name_raw, effective_date, len(rules) = 0 AND is_active AND effective_date IS NOT NULL ORDER BY item_id) AS place FROM ruled),
+judged AS (SELECT *, CASE WHEN len(rules) = 0 AND is_active AND effective_date IS NOT NULL AND place > 1 THEN ['partner_id, service_name_raw, effective_date again'] ELSE rules END AS violations FROM ranked)"""
+
+
+def _stored(spark, sf_dir):
+    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in df.columns if c.endswith("_id")})
+    target = R.Store(spark, new_folder(spark, "store"))
+    R.insert(target, "service", text(services(spark, sf_dir)))
+    R.insert(target, "partner", text(partners(spark, sf_dir)))
+    documents = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "'list ' || o_orderkey || '.pdf' AS file_name", "'pdf' AS file_format")
+    R.insert(target, "price_document", text(documents))
+    number = F.col("item_id")
+    incoming = items(spark, sf_dir).withColumns(
+        {
+            "item_id": F.concat_ws("-", number, "partner_id", "price_resident_kzt", "effective_date"),
+            "doc_id": F.when(number % 83 == 0, -1).otherwise(F.col("doc_id")),
+            "service_name_raw": F.when(number % 97 != 0, F.col("service_name_raw")),
+            "price_original": F.when(number % 79 == 0, 1e15).otherwise(F.col("price_original").cast("double")),
+            "currency_original": F.when(number % 89 == 0, "EUR").when(number % 5 == 0, "USD"),
+            "effective_date": F.when(number % 7 != 0, F.col("effective_date")),
+        }
+    )
+    R.insert(target, "price_item", text(incoming))
+    return target
+
+
+@query(f"WITH {_JUDGED} SELECT item_id, array_to_string(list_sort(violations), '; ') AS violations FROM judged WHERE len(violations) > 0")
+def rejected_items(spark, sf_dir):
+    return _stored(spark, sf_dir).rejects("price_item").select("item_id", F.array_join(F.array_sort("violations"), "; ").alias("violations"))
+
+
+@query(f"""WITH {_JUDGED} SELECT item_id, CASE WHEN service_id IS NULL AND n % 3 = 0 THEN '7' ELSE CAST(service_id AS VARCHAR) END AS service_id, CASE WHEN service_id IS NULL AND n % 3 = 0 THEN CAST(0.9 AS DOUBLE) END AS match_confidence,
+CAST(price_original AS DECIMAL(14,2)) AS price_original, coalesce(currency_original, 'KZT') AS currency_original, false AS is_verified FROM judged WHERE len(violations) = 0""")
+def stored_items(spark, sf_dir):
+    target = _stored(spark, sf_dir)
+    found = target.read("price_item").where(F.col("service_id").isNull() & (F.element_at(F.split("item_id", "-"), 1).cast("bigint") % 3 == 0))
+    R.set_match(target, found.select("item_id", F.lit("7").alias("service_id"), F.lit(0.9).alias("match_confidence")))
+    return target.read("price_item").select("item_id", "service_id", F.col("match_confidence").cast("double").alias("match_confidence"), "price_original", "currency_original", "is_verified")
+
+
+@query(f"""WITH {_ITEM}, {_INCOMING}, ranked AS (SELECT *, row_number() OVER (PARTITION BY partner_id, service_name_raw, effective_date ORDER BY item_id) AS place FROM incoming WHERE is_active AND effective_date IS NOT NULL AND service_name_raw IS NOT NULL)
+SELECT item_id, partner_id, service_name_raw, effective_date, is_active FROM ranked WHERE place = 1
+UNION ALL SELECT item_id, partner_id, service_name_raw, effective_date, is_active FROM incoming WHERE NOT (is_active AND effective_date IS NOT NULL AND service_name_raw IS NOT NULL)""")
+def active_by_batches(spark, sf_dir):
+    state = Table(spark, new_folder(spark, "active"), "item_id string, partner_id bigint, service_name_raw string, effective_date date, is_active boolean", ("partner_id", "service_name_raw", "effective_date"))
+    number = F.col("item_id")
+    rows = items(spark, sf_dir).select(
+        F.concat_ws("-", number, "partner_id", "price_resident_kzt", "effective_date").alias("item_id"),
+        F.col("partner_id").cast("bigint").alias("partner_id"),
+        F.when(number % 97 != 0, F.col("service_name_raw")).alias("service_name_raw"),
+        F.when(number % 7 != 0, F.col("effective_date")).alias("effective_date"),
+        "is_active",
+    )
+    for k in (2, 0, 1):
+        R.upsert_active(state, rows.where(F.pmod(F.crc32(F.col("item_id").cast("binary")), F.lit(3)) == k), [F.col("item_id")])
+    return state.read()
+
+
 @query(f"WITH {_ITEM} SELECT partner_id, service_name_raw, count(*) AS count FROM item GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, sf_dir):
     return store.repeated_keys(items(spark, sf_dir), "partner_id", "service_name_raw")
