@@ -12,6 +12,8 @@ entries are multiplied:
    one row is dropped and one of up to CROWD rows multiplied out; products are summed over
    blocks to the number of leading columns that a pair shares.  With c of them the whole
    overlap is below c + ceil(t q), q the larger size; pairs that can't reach the bound go.
+   A column of more than CROWD rows among what a task holds sends its block a mark only;
+   its entries go to other groups, which pass them on, so no group gathers such a column.
 3. The overlap of the others is accumulated over both whole rows.
 4. Columns of more rows aren't multiplied out.  First each row is held against one row of
    the column.  Then columns whose rows are all in one component are done, and the rest
@@ -48,6 +50,8 @@ MAX_COMMON = 500_000
 CROWD, TILE, ROUNDS = 32, 128, 2
 #: Entries that a task holds before it sends them, and those of a block.
 _BUFFER, _BLOCK = 400_000, 150_000
+#: The size in an entry that only says that its column is crowded.
+_MARK = -1
 #: Columns are counted by 32 bits, over so many entries; those that occur less often in them aren't reported.
 _COUNTED, _OFTEN = 5_000_000, 4
 
@@ -108,7 +112,7 @@ def prefix_size(n: int) -> int:
 
 
 def entries(docs: DataFrame, text: str, words: int, common: np.ndarray, blocks: int) -> DataFrame:
-    """(block, columns, rows, sizes): the leading entries of every row, packed."""
+    """(block, columns, rows, sizes): the leading entries of every row, packed; blocks from `blocks` on have entries of crowded columns."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -127,6 +131,19 @@ def entries(docs: DataFrame, text: str, words: int, common: np.ndarray, blocks:
             new = np.ones(len(order), bool)
             new[1:] = (column[1:] != column[:-1]) | (row[1:] != row[:-1])
             column, row, n, block = column[new], row[new], n[new], block[new]
+            starts = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+            counts = np.diff(np.append(starts, len(column)))
+            many = np.repeat(counts > CROWD, counts)
+            marks = starts[counts > CROWD]
+            # apart from their column, in parts that go to any group
+            spread = np.arange(int(many.sum())) // _BLOCK
+            spread = blocks + (mix(row[:1].view(np.uint64) + spread.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            column, row, n, block = (
+                np.concatenate(x)
+                for x in ((column[~many], column[marks], column[many]), (row[~many], np.zeros(len(marks), np.int64), row[many]), (n[~many], np.full(len(marks), _MARK, np.int32), n[many]), (block[~many], block[marks], spread))
+            )
+            order = np.argsort(block, kind="stable")
+            column, row, n, block = column[order], row[order], n[order], block[order]
             cuts = np.flatnonzero(np.diff(block, prepend=-1))
             ends = np.append(cuts[1:], len(block))
             return pa.RecordBatch.from_arrays([pa.array(block[cuts].astype(np.int32)), *(pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for v in (column, row, n))], names=["block", "columns", "rows", "sizes"])
@@ -153,8 +170,11 @@ def entries(docs: DataFrame, text: str, words: int, common: np.ndarray, blocks:
     return docs.select(text).mapInArrow(run, "block int, columns binary, rows binary, sizes binary")
 
 
-def _multiply(table: pa.Table) -> pa.Table:
-    """Of one block: pairs of rows with their products (kind 0: a, b, sizes n and m, count), and the entries of crowded columns (kind 1: column a, row b, size n)."""
+def _multiply(table: pa.Table, blocks: int) -> pa.Table:
+    """Of one block: pairs of rows with their products (kind 0: a, b, sizes n and m, count), and the entries of crowded columns (kind 1: column a, row b, size n).
+
+    Blocks from `blocks` on have entries of crowded columns only.
+    """
     column, row, n = (np.concatenate([np.frombuffer(v, t) for v in table[k].to_pylist()]) for k, t in (("columns", np.uint64), ("rows", np.int64), ("sizes", np.int32)))
     order = np.lexsort((row, column))
     column, row, n = column[order], row[order], n[order]
@@ -163,7 +183,9 @@ def _multiply(table: pa.Table) -> pa.Table:
     column, row, n = column[new], row[new], n[new]
     starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
     counts = np.diff(np.append(starts, len(column)))
-    crowded = np.repeat(counts > CROWD, counts)
+    full = (counts > CROWD) | np.logical_or.reduceat(n == _MARK, starts) | (table["block"][0].as_py() >= blocks)
+    crowded = np.repeat(full, counts) & (n != _MARK)
+    counts = np.where(full, CROWD + 1, counts)
     left, right = [], []
     for k in range(2, CROWD + 1):
         at = starts[counts == k]
@@ -319,9 +341,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id"
     join.total = total = join.rows.agg(F.sum("n")).first()[0] or 0
     blocks = int(max(16, total // (OF * _BLOCK)))
     common = common_columns(docs, text, words)
-    product = entries(docs, text, words, common, blocks).groupBy("block").applyInArrow(_multiply, "kind int, a bigint, b bigint, n int, m int, count bigint")
+    product = entries(docs, text, words, common, blocks).groupBy("block").applyInArrow(lambda t: _multiply(t, blocks), "kind int, a bigint, b bigint, n int, m int, count bigint")
     product = scratch.keep(product)
-    crowded = product.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("row"), "n")
+    # tasks may send the same entry of a crowded column to different groups
+    crowded = scratch.keep(product.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("row"), "n").distinct())
     hidden = crowded.groupBy("row").agg(F.count("*").alias("hidden"))  # leading columns that products don't show
     pairs = product.where("kind = 0").groupBy("a", "b", "n", "m").agg(F.sum("count").alias("count"))
     pairs = pairs.join(hidden.toDF("a", "hidden_a"), "a", "left").join(hidden.toDF("b", "hidden_b"), "b", "left")

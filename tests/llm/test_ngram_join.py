@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarifflow.llm import ngram_join
 from tarifflow.llm.scratch import Scratch
@@ -45,6 +47,28 @@ def words(rng, n, pool=5000):
     return [f"w{rng.randrange(pool)}" for _ in range(n)]
 
 
+def test_no_group_gathers_a_crowded_column(spark):
+    """However many near copies there are, a block gets as many of their entries as there are tasks."""
+    rng, largest = random.Random(8), {}
+    base = words(rng, 200)
+    for count in (400, 1600):
+        docs = [" ".join([*base[:k], f"x{rng.randrange(10**9)}", *base[k + 1 :]]) for k in (rng.randrange(200) for _ in range(count))]
+        frame = spark.createDataFrame([(k, d, None) for k, d in enumerate(docs)], SCHEMA).repartition(4)
+        sent = ngram_join.entries(frame, "text", 5, np.zeros(0, np.uint32), 16).select("block", (F.octet_length("rows") / 8).alias("n"))
+        by_block = {r["block"]: r["n"] for r in sent.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+        largest[count] = max(n for b, n in by_block.items() if b < 16)
+        assert sum(n for b, n in by_block.items() if b >= 16) > 20 * count
+    assert largest[1600] < 2 * largest[400] and largest[1600] < 0.05 * 1600 * 40
+
+
+def test_crowded_in_one_task_only(spark, monkeypatch):
+    """A column that few rows of one task and many of another have is crowded for both."""
+    monkeypatch.setattr(ngram_join, "_BUFFER", 1500)
+    rng, base = random.Random(9), words(random.Random(9), 150)
+    near = lambda n: [w if rng.random() > n / 300 else f"y{rng.randrange(10**9)}" for w in base]
+    check(spark, [(k, " ".join(near(rng.choice([1, 2, 8, 16]))), None) for k in range(150)] + [(500 + k, " ".join(base), None) for k in range(60)])
+
+
 def test_crowds_of_near_copies(spark):
     """Groups larger than CROWD whose members link only through others."""
     rng, docs = random.Random(5), []
