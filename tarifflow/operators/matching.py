@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import similarity as S
 from .candidates import nearest
+from .lemmas import lemmatize
 
 AUTO, REVIEW, CANDIDATES = 0.78, 0.55, 30
 CODE_SCORE = 0.98
@@ -34,7 +35,7 @@ def code_index(services: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def _normalized(names: DataFrame, result: str, normalize, lemmas: DataFrame | None) -> DataFrame:
-    return names.withColumn(result, normalize(F.col("_raw"))) if lemmas is None else N.lemmatize(names, lemmas, "_raw", result)
+    return names.withColumn(result, normalize(F.col("_raw"))) if lemmas is None else lemmatize(names, lemmas, "_raw", result)
 
 
 def name_index(services: DataFrame, ordinal: str = "ordinal", normalize=N.normalize_name, lemmas: DataFrame | None = None) -> DataFrame:

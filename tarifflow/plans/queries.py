@@ -21,6 +21,7 @@ from ..operators import tables as T
 from ..operators import trigram_index
 from ..operators import validate as V
 from ..operators.candidates import nearest
+from ..operators.lemmas import complete
 from ..sources.catalog import split_synonyms
 from ..sources.shared import new_folder
 from ..sources.snapshots import Table
@@ -710,6 +711,27 @@ def active_by_batches(spark, sf_dir):
     return state.read()
 
 
+# words of all documents; forms in s, d, ed, ing are taught by words that are there without them, and a quarter of the words is left out to be found
+_TAUGHT = r"""words AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS token FROM documents),
+forms AS (SELECT token, lemma FROM (SELECT token AS lemma, token || unnest(['', 's', 'd', 'ed', 'ing']) AS token FROM words WHERE length(token) >= 3) JOIN words USING (token)),
+known AS (SELECT token, min(lemma) AS lemma FROM forms WHERE ascii(token) % 4 <> 1 GROUP BY 1),
+shared AS (SELECT *, list_max(list_transform(range(0, least(length(token), length(lemma)) + 1), lambda k: CASE WHEN left(token, k) = left(lemma, k) THEN k ELSE 0 END)) AS common FROM known),
+cuts AS (SELECT token, CAST(length(token) - common AS INT) AS cut, substr(lemma, common + 1) AS put FROM shared WHERE common >= 2),
+endings AS (SELECT right(token, k) AS ending, cut, put, count(*) AS n FROM (SELECT *, unnest(range(greatest(cut, 1), least(6, length(token) - 2) + 1)) AS k FROM cuts) GROUP BY 1, 2, 3),
+rules AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY n DESC, cut, put DESC) AS place FROM endings) WHERE place = 1 AND n >= 2),
+asked AS (SELECT token FROM words WHERE token NOT IN (SELECT token FROM known)),
+found AS (SELECT token, cut, put, row_number() OVER (PARTITION BY token ORDER BY length(ending) DESC) AS place FROM (SELECT token, right(token, k) AS e FROM (SELECT token, unnest(range(1, least(6, length(token) - 2) + 1)) AS k FROM asked)) JOIN rules ON e = ending WHERE length(token) - cut >= 2)"""
+
+
+@query(f"WITH {_TAUGHT} SELECT token, lemma FROM known UNION ALL SELECT token, left(token, length(token) - cut) || put FROM found WHERE place = 1")
+def unseen_lemmas(spark, sf_dir):
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
+    bases = words.where(F.length("token") >= 3).select(F.col("token").alias("lemma"), F.explode(F.array(*(F.concat("token", F.lit(e)) for e in ("", "s", "d", "ed", "ing")))).alias("token"))
+    lemmas = bases.join(words, "token").where(F.ascii("token") % 4 != 1)
+    return complete(words, lemmas)
+
+
 @query(f"WITH {_ITEM} SELECT partner_id, service_name_raw, count(*) AS count FROM item GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, sf_dir):
     return store.repeated_keys(items(spark, sf_dir), "partner_id", "service_name_raw")
