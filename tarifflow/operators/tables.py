@@ -77,6 +77,49 @@ def column_map(titles: DataFrame, keys=TABLE, name=NAME_NEEDLES, code=CODE_NEEDL
     )
 
 
+#: Cells of a row are cleaned at once, kept apart by a character that cleaning leaves alone.
+_APART = "\ue000"
+
+
+def _joined(cells: Column, compatibility: bool = True) -> Column:
+    return X.clean_text(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), _APART), compatibility)
+
+
+def _position(keys: Column, use) -> Column:
+    """Place from 0 of the first key for which `use` holds, null if for none."""
+    return F.nullif(F.array_position(F.transform(keys, use), F.lit(True)), F.lit(0)).cast("int") - 1
+
+
+def headers_and_columns(rows: DataFrame, keys=TABLE, compatibility: bool = True, stems=HEADER_STEMS, scan: int = HEADER_SCAN, least: int = HEADER_SCORE) -> DataFrame:
+    """(keys, header, name_col, …): `pick_headers` and `column_map` of the merged headers at once, from the first rows of each table."""
+    first = rows.where(F.col("row_pos") < scan + HEADER_ROWS - 1).select(*keys, "row_pos", _joined(F.col("cells"), compatibility).alias("line"))
+    key = X.key_of_clean(F.replace(F.col("line"), F.lit(_APART), F.lit(" ")))
+    score = sum((key.contains(stem).cast("int") for stem in stems), F.lit(0))
+    listed = first.select(*keys, "row_pos", "line", score.alias("score"))
+    best = F.max(F.when(F.col("row_pos") < scan, F.struct("score", "row_pos"))).alias("b")
+    # at most scan + 2 rows a table
+    found = listed.groupBy(*keys).agg(best, F.collect_list(F.struct("row_pos", "line")).alias("rows")).where(F.col("b.score") >= least)
+    near = F.filter("rows", lambda r: (r["row_pos"] >= F.col("b.row_pos")) & (r["row_pos"] < F.col("b.row_pos") + HEADER_ROWS))
+    split = F.transform(F.array_sort(near), lambda r: F.transform(F.split(r["line"], _APART), lambda c: F.trim(c)))
+    found = found.select(*keys, F.col("b.row_pos").alias("header"), split.alias("near"))
+    width = F.array_max(F.transform("near", lambda r: F.size(r)))
+    said = lambda c: F.filter(F.transform("near", lambda r: F.get(r, c)), lambda t: t.isNotNull() & (t != ""))
+    found = found.withColumn("titles", F.transform(F.sequence(F.lit(0), width - 1), lambda c: X.key_of_clean(F.array_join(said(c), " "))))
+    price = lambda k: X.contains_any(k, PRICE_WORDS)
+    of = lambda needles: _position(F.col("titles"), lambda k: X.contains_any(k, needles))
+    one = lambda needle: _position(F.col("titles"), lambda k: price(k) & k.contains(needle))
+    priced = lambda needles: F.coalesce(*map(one, needles), _position(F.col("titles"), price))
+    return found.select(
+        *keys,
+        "header",
+        of(NAME_NEEDLES).alias("name_col"),
+        of(CODE_NEEDLES).alias("code_col"),
+        priced(RESIDENT_NEEDLES).alias("resident_col"),
+        priced(NONRESIDENT_NEEDLES).alias("nonresident_col"),
+        priced(ORIGINAL_NEEDLES).alias("original_col"),
+    )
+
+
 def cell(cells: Column, at: Column, compatibility: bool = True) -> Column:
     """A cleaned cell; empty where the column is unknown or beyond the row."""
     return X.clean_text(F.when(at.isNotNull(), F.try_element_at(cells, at + 1)), compatibility)
@@ -86,10 +129,11 @@ def money_at(cells: Column, at: Column) -> Column:
     return F.when(at.isNotNull(), M.parse_money(F.try_element_at(cells, at + 1)))
 
 
-def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES, compatibility: bool = True) -> DataFrame:
-    """Items of the rows below each header: named, not skipped, with a price; source_row counts from 1."""
+def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame | None = None, keys=TABLE, sections=X.SECTION_PREFIXES, compatibility: bool = True) -> DataFrame:
+    """Items of the rows below each header: named, not skipped, with a price; source_row counts from 1. `headers` may have the columns too."""
     cells = F.col("cells")
-    found = rows.join(headers, list(keys)).where("row_pos > header").join(columns, list(keys))
+    found = rows.join(headers, list(keys)).where("row_pos > header")
+    found = found if columns is None else found.join(columns, list(keys))
     # generated, not selected, so that filters on a value don't compute it again
     values = F.struct(
         cell(cells, F.col("name_col"), compatibility).alias("service_name_raw"),
@@ -112,16 +156,7 @@ def rows_to_items(rows: DataFrame, headers: DataFrame, columns: DataFrame, keys=
 
 
 def items_of_tables(rows: DataFrame, keys=TABLE, sections=X.SECTION_PREFIXES, compatibility: bool = True) -> DataFrame:
-    headers = pick_headers(rows, keys, compatibility=compatibility)
-    return rows_to_items(rows, headers, column_map(merged_headers(rows, headers, keys, compatibility), keys), keys, sections, compatibility)
-
-
-#: Cells of a row are cleaned at once, kept apart by a character that cleaning leaves alone.
-_APART = "\ue000"
-
-
-def _joined(cells: Column) -> Column:
-    return X.clean_text(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), _APART))
+    return rows_to_items(rows, headers_and_columns(rows, keys, compatibility), None, keys, sections, compatibility)
 
 
 def raw_content(rows: DataFrame, document: str = "doc_id", per_sheet: int = 30) -> DataFrame:
