@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,5 +56,47 @@ def read_store(spark: SparkSession, url: str, table: str, column: str | None = N
     return reader.load()
 
 
+def _statements(spark: SparkSession, url: str, statements: list[str], properties: dict[str, str]) -> None:
+    """All of them or none, over one connection of the driver."""
+    jvm = spark._jvm
+    options = jvm.java.util.Properties()
+    for key, value in properties.items():
+        options.setProperty(key, value)
+    if "driver" in properties:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, options)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for sql in statements:
+            statement.executeUpdate(sql)
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def write_store(df: DataFrame, url: str, table: str, mode: str = "append", connections: int = 10, **properties: str) -> None:
-    df.coalesce(connections).write.format("jdbc").options(url=url, dbtable=table, numPartitions=connections, **properties).mode(mode).save()
+    """Append to, or overwrite, a table over JDBC, all rows or none.
+
+    The rows go to a table of their own over at most `connections`, then into `table` by one
+    statement in one transaction, within the database.  So a job that fails, or tasks that
+    run again, leave `table` as it was.  To be there is the table's part, with its constraints;
+    columns that `df` doesn't have get their defaults.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(mode)
+    spark = df.sparkSession
+    staging = f"staging_{uuid.uuid4().hex[:12]}"
+    columns = ", ".join(df.columns)
+    try:
+        df.coalesce(connections).write.format("jdbc").options(url=url, dbtable=staging, numPartitions=connections, **properties).mode("overwrite").save()
+        quoted = ", ".join(f'"{c}"' for c in df.columns)
+        empty = [f"DELETE FROM {table}"] if mode == "overwrite" else []
+        _statements(spark, url, [*empty, f"INSERT INTO {table} ({columns}) SELECT {quoted} FROM {staging}"], properties)
+    finally:
+        # there is none if the first task didn't get to it
+        with contextlib.suppress(Py4JJavaError):
+            _statements(spark, url, [f"DROP TABLE {staging}"], properties)
