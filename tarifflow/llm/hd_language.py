@@ -30,6 +30,8 @@ from .text import crc_bucket, pieces
 DIMENSIONS = 1024
 SLICE_BYTES, GRAMS, ROWS = 1 << 18, 2048, 128
 UNKNOWN = "und"
+#: Cosines this close count as equal.
+ROUNDING = 1e-6
 #: Prototypes are broadcast; more distinct languages than this is an error, not a larger broadcast.
 MAX_LANGUAGES = 4096
 
@@ -129,7 +131,8 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
             if names:
                 vectors, has = bundles(texts, dimensions)
                 near = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
-                top = near.argmax(axis=1)
+                # the first by name of those that rounding can't tell apart
+                top = (near >= near.max(axis=1, keepdims=True) - ROUNDING).argmax(axis=1)
                 for k in np.flatnonzero(has):
                     best[k], cosine[k] = names[top[k]], min(1.0, max(0.0, float(near[k, top[k]])))
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
