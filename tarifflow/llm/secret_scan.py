@@ -43,6 +43,8 @@ ALLOWED = re.compile(r"(.)\1{5,}|(?i:0123456789|abcdefghij|/[a-z]+/[a-z]+(?=/))|
 WORDS, WORDY, VOWELS = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0.8, 0.27
 KINDS = ("assign", "access", "hex", *CLASSES)
 _RANK = {k: i for i, k in enumerate(KINDS)}
+#: A window at the bar counts, whatever rounding its counts went through.
+ROUNDING = 1e-9
 _LOGS = [0.0, *(n * math.log2(n) for n in range(1, 129))]
 
 
@@ -64,7 +66,7 @@ def window_spans(text: str, members: frozenset, window: int, bits: float) -> Ite
             n = counts[old]
             total += _LOGS[n - 1] - _LOGS[n]
             counts[old] = n - 1
-        if len(run) >= window and math.log2(window) - total / window >= bits:
+        if len(run) >= window and math.log2(window) - total / window >= bits - ROUNDING:
             start = i - window + 1
             if open_at >= 0 and start > open_to:
                 yield open_at, open_to
