@@ -679,6 +679,26 @@ def _stored(spark, sf_dir):
     return target
 
 
+# literal rows of a document, and the names that they belong to
+_LITERAL = """matched_rows AS (SELECT * FROM (VALUES ('checked item', 3500, 4200, TRUE, 0.97), ('another item', 10, 20, FALSE, 0.6)) AS v(service_name_raw, price_resident_kzt, price_nonresident_kzt, is_verified, match_confidence)),
+open_rows AS (SELECT * FROM (VALUES ('an item of no service', 5000, 6000)) AS v(service_name_raw, price_resident_kzt, price_nonresident_kzt))"""
+_STORED = "{p}service_name_raw, CAST(price_resident_kzt AS DECIMAL(14,2)) AS price_resident_kzt, CAST(price_nonresident_kzt AS DECIMAL(14,2)) AS price_nonresident_kzt"
+
+
+@query(f"""WITH {_SERVICE}, {_PARTNER}, {_LITERAL},
+p AS (SELECT CAST(partner_id AS VARCHAR) AS partner_id FROM partner WHERE name = 'Supplier#000000001' ORDER BY CAST(partner_id AS VARCHAR) LIMIT 1), s AS (SELECT CAST(service_id AS VARCHAR) AS service_id FROM service WHERE service_name = 'red widget' ORDER BY CAST(service_id AS VARCHAR) LIMIT 1)
+SELECT partner_id, service_id, {_STORED.format(p='')}, is_verified, CAST(match_confidence AS DOUBLE) AS match_confidence, 'KZT' AS currency_original, TRUE AS is_active FROM matched_rows CROSS JOIN p CROSS JOIN s
+UNION ALL SELECT partner_id, NULL, {_STORED.format(p='')}, FALSE, NULL, 'KZT', TRUE FROM open_rows CROSS JOIN p""")
+def seeded_document(spark, sf_dir):
+    text = lambda df, key: df.withColumn(key, F.col(key).cast("string"))
+    target = R.Store(spark, new_folder(spark, "seeded"))
+    R.insert(target, "service", text(services(spark, sf_dir), "service_id"))
+    R.insert(target, "partner", text(partners(spark, sf_dir), "partner_id"))
+    matched, rest = (spark.sql(f"WITH {_LITERAL} SELECT * FROM {t}") for t in ("matched_rows", "open_rows"))
+    stored = R.seed(target, "Supplier#000000001", "red widget", "list.xlsx", matched, rest)
+    return stored.select("partner_id", "service_id", "service_name_raw", "price_resident_kzt", "price_nonresident_kzt", "is_verified", F.col("match_confidence").cast("double").alias("match_confidence"), "currency_original", "is_active")
+
+
 @query(f"WITH {_JUDGED} SELECT item_id, array_to_string(list_sort(violations), '; ') AS violations FROM judged WHERE len(violations) > 0")
 def rejected_items(spark, sf_dir):
     return _stored(spark, sf_dir).rejects("price_item").select("item_id", F.array_join(F.array_sort("violations"), "; ").alias("violations"))

@@ -89,6 +89,31 @@ def insert(target: Store, name: str, rows: DataFrame, tries: int = TRIES) -> int
         _delete(spark, draft)
 
 
+def insert_returning(target: Store, name: str, rows: DataFrame, tries: int = TRIES) -> DataFrame:
+    """`insert`, and the rows that it stored, with the keys and defaults that they got."""
+    return target.table(name).added(insert(target, name, rows, tries))
+
+
+def _first(rows: DataFrame, condition: Column, key: str) -> DataFrame:
+    """The key of the first row by key that meets a condition; no row if none does."""
+    return rows.where(condition).orderBy(key).limit(1).select(key)
+
+
+def seed(target: Store, partner: str, service: str, file_name: str, matched: DataFrame, open_items: DataFrame, effective_date: Column | None = None) -> DataFrame:
+    """A document of the first partner of a name, with `matched` items of the first service of a name and `open_items` of none; the stored items.
+
+    Without such a partner nothing is stored, without such a service only the open items.
+    """
+    day = F.current_date() if effective_date is None else effective_date
+    owner = _first(target.read("partner"), F.col("name") == partner, "partner_id")
+    document = owner.select("partner_id", F.lit(file_name).alias("file_name"), F.lit("xlsx").alias("file_format"), F.lit("done").alias("parse_status"), day.alias("effective_date"))
+    about = insert_returning(target, "price_document", document).select("doc_id", "partner_id", "effective_date")
+    # one row each at most
+    of_service = about.crossJoin(_first(target.read("service"), F.col("service_name") == service, "service_id"))
+    rows = matched.crossJoin(of_service).unionByName(open_items.crossJoin(about), allowMissingColumns=True)
+    return insert_returning(target, "price_item", rows)
+
+
 def set_match(target: Store, decisions: DataFrame, tries: int = TRIES) -> int:
     """Set service_id and match_confidence of items from (item_id, service_id, match_confidence); only the buckets of those items are written again.
 

@@ -73,6 +73,13 @@ class Table:
                 found = found.unionByName(rows.where(F.col("bucket").isin(wanted)))
         return found.drop("bucket")
 
+    def added(self, version: int) -> DataFrame:
+        """The rows that `append` stored with a version."""
+        part = self.parts(version)[-1:]
+        schema = f"{self.schema}, bucket int"
+        rows = self.spark.createDataFrame([], schema)
+        return (rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/data/{part[0].write}")) if part else rows).drop("bucket")
+
     def stage(self, rows: DataFrame) -> Part:
         """Write rows that count once a version names them."""
         write = uuid.uuid4().hex
@@ -82,9 +89,9 @@ class Table:
         found = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/data/{write}").select("bucket").distinct().collect()
         return Part(write, tuple(sorted(r[0] for r in found)))
 
-    def commit(self, base: int, parts: list[Part]) -> int:
-        """The version after `base` has these parts; Conflict if there is one already."""
-        text = json.dumps({"parts": [{"write": p.write, "buckets": p.buckets} for p in parts if p.buckets]})
+    def commit(self, base: int, parts: list[Part], last: bool = False) -> int:
+        """The version after `base` has these parts, the last even if it has no rows if asked for; Conflict if there is one already."""
+        text = json.dumps({"parts": [{"write": p.write, "buckets": p.buckets} for p in parts if p.buckets or last and p is parts[-1]]})
         draft, files = self._file(f".{uuid.uuid4().hex}")
         out = files.create(draft, False)
         out.write(bytearray(text, "utf-8"))
@@ -102,7 +109,7 @@ class Table:
         return base + 1
 
     def append(self, base: int, rows: DataFrame) -> int:
-        return self.commit(base, [*self.parts(base), self.stage(rows)])
+        return self.commit(base, [*self.parts(base), self.stage(rows)], last=True)
 
     def replace(self, base: int, rows: DataFrame, buckets: list[int]) -> int:
         """Rows in place of all that these buckets held."""

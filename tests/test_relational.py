@@ -165,6 +165,19 @@ def test_batches_in_any_order_give_one_run(spark, tmp_path):
     assert [p.buckets for p in table.parts(table.version())][-1] == tuple(touched) and rows_of(table) == whole
 
 
+def test_seed(spark, target):
+    matched = spark.sql("SELECT * FROM VALUES ('a', 3500, 0.97), ('b', 10, 0.5) AS v(service_name_raw, price_resident_kzt, match_confidence)")
+    rest = spark.sql("SELECT 'c' AS service_name_raw")
+    rows = relational.seed(target, "Клиника", "Анализ", "a.xlsx", matched, rest, F.lit(DAY)).collect()
+    assert sorted((r["service_name_raw"], r["partner_id"], r["service_id"], r["effective_date"], r["is_verified"]) for r in rows) == [("a", "p1", "s1", DAY, False), ("b", "p1", "s1", DAY, False), ("c", "p1", None, DAY, False)]
+    (doc,) = {r["doc_id"] for r in rows}
+    assert [r["file_name"] for r in target.read("price_document").where(F.col("doc_id") == doc).collect()] == ["a.xlsx"]
+    # the same items of that day again are refused; so are those of nobody
+    assert relational.seed(target, "Клиника", "Анализ", "a.xlsx", matched, rest, F.lit(DAY)).count() == 0
+    assert relational.seed(target, "Nobody", "Анализ", "b.xlsx", matched, rest).count() == 0
+    assert [r["service_name_raw"] for r in relational.seed(target, "Клиника", "gone", "c.xlsx", matched, rest, F.lit(dt.date(2025, 2, 2))).collect()] == ["c"]
+
+
 def test_rules_name_columns_that_there_are():
     for name, rules in constraints.RULES.items():
         columns = {c for c, _ in constraints._fields(relational.STORED[name])}
