@@ -10,7 +10,8 @@ DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
 @pytest.fixture(scope="module")
-def store(spark):
+def store(spark, tmp_path_factory):
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path_factory.mktemp("derby") / "derby.log"))
     tables._statements(spark, URL, ["CREATE TABLE price (id BIGINT PRIMARY KEY, name VARCHAR(20) NOT NULL, active BOOLEAN DEFAULT TRUE)"], DRIVER)
     return URL
 
