@@ -40,6 +40,16 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
+
+    @contextmanager
+    def passing(self):
+        """Tables written within go at the end, also of a run that fails, but for those given to what is yielded."""
+        first, stay = len(self.tables), []
+        try:
+            yield stay.append
+        finally:
+            self.drop(*(t for t in self.tables[first:] if not any(t is s for s in stay)))
 
     def _path(self) -> str:
         self.count += 1
@@ -51,6 +61,7 @@ class Scratch:
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
     def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -65,10 +76,12 @@ class Scratch:
             raise
         out = self.spark.table(name)
         out._scratch_path, out._scratch_name = path, name
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later result reads."""
+        self.tables = [t for t in self.tables if not any(t is gone for gone in tables)]
         for table in tables:
             if hasattr(table, "_scratch_name"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {table._scratch_name}")

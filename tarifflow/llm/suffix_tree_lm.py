@@ -17,7 +17,8 @@ sent shrinks with the order.  Counts are on hashes: 64 bits for words and
 log2(tokens) + 16 for longer ones, so at any size fewer than one n-gram in 2**14 shares
 its count with another.  Documents are read into blocks of token numbers, and counts and
 divergences are added up over blocks (see exchange); a block asks for the n-grams that it
-holds and nothing grows with the corpus on one task or the driver.
+holds and nothing grows with the corpus on one task or the driver.  What a block has been
+answered is stored with it, so each answer is sent once, whatever comes after.
 
 Defined results: null and empty texts consist of the end alone.  Repeated rows give
 repeated results and count as often as they occur.  Without training texts N and V are
@@ -27,7 +28,6 @@ repeated results and count as often as they occur.  Without training texts N and
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,9 @@ END = np.uint64(0x1F83D9ABFB41BD6B)
 CONTEXT = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
-BLOCKS = "block bigint, docs array<bigint>, held array<boolean>, sizes array<int>, vocabulary binary, tokens binary"
+BLOCKS = "block bigint, docs array<bigint>, held array<boolean>, sizes array<int>, vocabulary binary, tokens binary, kinds array<int>, answers array<binary>"
+
+_BLOCK = {"block": pa.int64(), "docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "vocabulary": pa.binary(), "tokens": pa.binary(), "kinds": pa.list_(pa.int32()), "answers": pa.list_(pa.binary())}
 
 
 def read_blocks(docs: DataFrame) -> DataFrame:
@@ -63,12 +65,11 @@ def read_blocks(docs: DataFrame) -> DataFrame:
         def block():
             nonlocal count
             vocabulary, tokens = np.unique(np.concatenate(words), return_inverse=True)
-            row = [[(task << 32) + count], [ids[:]], [held[:]], [sizes[:]], [X.pack_sorted(vocabulary)], [X.pack(tokens.astype(np.int32))]]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            row = [[(task << 32) + count], [ids[:]], [held[:]], [sizes[:]], [X.pack_sorted(vocabulary)], [X.pack(tokens.astype(np.int32))], [[]], [[]]]
             count += 1
             for x in (ids, held, sizes, words):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["block", "docs", "held", "sizes", "vocabulary", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _BLOCK.values())], names=list(_BLOCK))
 
         size = 0
         for batch in batches:
@@ -197,6 +198,23 @@ def _rows(rows: list[tuple], types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
+def _known(row: dict) -> dict[int, np.ndarray]:
+    """The answers stored with a block, by kind."""
+    return {k: X.unpack(a, _kind_of(k)) for k, a in zip(row["kinds"], row["answers"])}
+
+
+def _answered(table: pa.Table) -> dict[int, np.ndarray]:
+    """Answers that have come for a block, by kind, in the order of its keys."""
+    by: dict[int, list] = {}
+    for kind, bucket, answer in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["answer"].to_pylist()):
+        by.setdefault(kind, []).append((bucket, answer))
+    return {k: np.concatenate([X.unpack(a, _kind_of(k)) for _, a in sorted(v)]) for k, v in by.items()}
+
+
+def _kind_of(kind: int) -> type:
+    return np.uint32 if kind < CONTEXT else np.uint8
+
+
 _PARTS = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "keys": pa.binary(), "amounts": pa.binary()}
 
 
@@ -204,6 +222,13 @@ def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns contexts of up to `depth` words, one or more, from rows where `held_out` (a Column) is not true."""
     if not 1 <= depth < CONTEXT:
         raise ValueError("a context has between one and 63 words")
+    with scratch.passing() as stays:
+        out = _score_texts(docs, scratch, doc_id, text, held_out, depth)
+        stays(out)
+    return out
+
+
+def _score_texts(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, held_out, depth: int) -> DataFrame:
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     length = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
     # bucketed by block: later passes send counts to the blocks, not blocks to the counts
@@ -219,16 +244,14 @@ def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     def sent(row, found):
         return [p for kind, keys, n in found for p in X.parts(row["block"], kind, keys, n, 64 if kind in words else bits, buckets)]
 
-    def ask(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                yield _rows(sent(row, block_of(row).grow(1, {}).counts((0, 1))), _PARTS)
+    def asking(found):
+        """What each block sends: found(its block, the answers that it has)."""
 
-    def ask_longer(k: int):
-        def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-            got = answers_of(answers)
-            return pa.Table.from_batches([_rows([p for row in block.to_pylist() for p in sent(row, block_of(row).grow(k, got).counts((k,)))], _PARTS)])
+        def run(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    yield _rows(sent(row, found(block_of(row), _known(row))), _PARTS)
 
         return run
 
@@ -240,50 +263,44 @@ def score_texts(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
         found = kind == 0
         return pa.table({"block": pa.concat_arrays([table["block"].combine_chunks(), pa.array([None], pa.int64())]), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "total": pa.array([0] * n + [int(sums.sum()) if found else 0]), "distinct": pa.array([0] * n + [int((sums > 0).sum()) if found else 0])})
 
-    def answers_of(table: pa.Table) -> dict:
-        by: dict[int, list] = {}
-        for kind, bucket, answer in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["answer"].to_pylist()):
-            by.setdefault(kind, []).append((bucket, answer))
-        return {k: np.concatenate([X.unpack(a, np.uint32 if k < CONTEXT else np.uint8) for _, a in sorted(v)]) for k, v in by.items()}
-
-    lean = blocks.select("block", "held", "sizes", "vocabulary", "tokens")
-
-    def add_up(asked: DataFrame) -> DataFrame:
-        return scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(add_counts, X.ANSWERS + ", total bigint, distinct bigint"))
-
-    counted = [add_up(lean.mapInArrow(ask, X.PARTS))]
-    total, distinct = (int(x or 0) for x in counted[0].where("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first())
-
-    def counts() -> DataFrame:
-        return reduce(DataFrame.unionByName, counted).where("block IS NOT NULL").select("block", "kind", "bucket", "answer")
-
-    for k in range(2, depth + 1):
-        counted.append(add_up(lean.groupBy("block").cogroup(counts().where("kind > 0").groupBy("block")).applyInArrow(ask_longer(k), X.PARTS)))
-
-    def diverge(block: pa.Table, answers: pa.Table) -> pa.Table:
-        got = answers_of(answers)
-        return pa.Table.from_batches([_rows([p for row in block.to_pylist() for p in sent(row, block_of(row).grow(depth, got).gains(got, total, distinct))], _PARTS)])
-
     def add_gains(table: pa.Table) -> pa.Table:
         sums, places, _ = X.add_up(table["keys"].to_pylist(), table["amounts"].to_pylist(), np.float32)
         kept = [X.pack((sums[p] > MIN_GAIN).astype(np.uint8)) for p in places]
         return pa.table({"block": table["block"], "kind": table["kind"], "bucket": table["bucket"], "answer": pa.array(kept, pa.binary())})
 
-    gains = lean.groupBy("block").cogroup(counts().groupBy("block")).applyInArrow(diverge, X.PARTS)
-    kept = scratch.keep(gains.groupBy("kind", "bucket").applyInArrow(add_gains, X.ANSWERS))
+    def learn(block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        for row in rows:
+            for kind, values in _answered(answers).items():
+                row["kinds"].append(kind)
+                row["answers"].append(X.pack(values))
+        return pa.table({c: pa.array([row[c] for row in rows], t) for c, t in _BLOCK.items()})
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
-        got, out = answers_of(answers), []
+        out = []
         for row in block.to_pylist():
+            got = _known(row) | _answered(answers)
             n, known, first, score = block_of(row).grow(depth, got).scores(got, total, distinct)
             out.append(pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": n, "n_known": known, "train_tokens": pa.array([total] * len(n), pa.int64()), "base_score": first, "score": score}))
         return pa.concat_tables(out) if out else empty.slice(0, 0)
 
     empty = pa.table({"doc_id": pa.array([0]), "held_out": pa.array([False]), "n_tokens": pa.array([0]), "n_known": pa.array([0]), "train_tokens": pa.array([0]), "base_score": pa.array([0.0]), "score": pa.array([0.0])})
-    out = blocks.groupBy("block").cogroup(counts().unionByName(kept).groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    out = scratch.keep(out)
-    scratch.drop(blocks, *counted, kept)
-    return out
+
+    def with_answers(blocks: DataFrame, answers: DataFrame, function, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.select("block", "kind", "bucket", "answer").where("block IS NOT NULL").groupBy("block")).applyInArrow(function, schema)
+
+    for k in range(1, depth + 1):
+        levels = (0, 1) if k == 1 else (k,)
+        asked = blocks.mapInArrow(asking(lambda block, got: block.grow(max(levels), got).counts(levels)), X.PARTS)
+        counted = scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(add_counts, X.ANSWERS + ", total bigint, distinct bigint"))
+        if k == 1:
+            total, distinct = (int(x or 0) for x in counted.where("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first())
+        told = scratch.bucketed(with_answers(blocks, counted, learn, BLOCKS), "block", int(length >> 28))
+        scratch.drop(blocks, counted)
+        blocks = told
+    gains = blocks.mapInArrow(asking(lambda block, got: block.grow(depth, got).gains(got, total, distinct)), X.PARTS)
+    kept = scratch.keep(gains.groupBy("kind", "bucket").applyInArrow(add_gains, X.ANSWERS))
+    return scratch.keep(with_answers(blocks, kept, finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))
 
 
 def held_out(column="doc_id"):

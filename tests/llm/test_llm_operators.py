@@ -495,3 +495,16 @@ def test_quality(spark):
     nothing = fm_quality.train(frame(spark, docs), labels.limit(0))
     assert {round(r["score"], 6) for r in fm_quality.score(frame(spark, docs), nothing).collect()} == {0.5}
     assert fm_quality.score(frame(spark, []), model).count() == 0
+
+
+def test_scratch_tables_go_after_failures(spark):
+    scratch = Scratch(spark, "t")
+    with pytest.raises(RuntimeError), scratch.passing():
+        scratch.keep(spark.range(3))
+        scratch.bucketed(spark.range(3), "id", 1)
+        raise RuntimeError
+    assert not scratch.tables and not [t for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
+    with scratch.passing() as stays:
+        kept, gone = scratch.keep(spark.range(3)), scratch.keep(spark.range(3))
+        stays(kept)
+    assert kept.count() == 3 and scratch.tables == [kept]
