@@ -8,7 +8,8 @@ p(s) = (n(s) + 0.5) / (N + 0.5 (V + 1)), which leaves a share for unknown words.
 A context that occurs MIN_CONTEXT times or more in training is kept if it diverges from
 its suffix by more than its own sampling: the sum over its training occurrences of
 log p(s | xc) / p(s | c), with the occurrence itself left out of the counts, has to
-exceed MIN_GAIN.  A text is scored at each symbol in the state of the longest kept
+exceed MIN_GAIN.  The sum is known without the other blocks where a context has one next
+symbol only, and nothing is sent of those that it rules out.  A text is scored at each symbol in the state of the longest kept
 suffix.
 
 N-grams of all training texts are counted, order by order: those of three words and more
@@ -158,8 +159,12 @@ class Block:
         may[level.context[once & (times[level.context] == 2)]] = False
         return may
 
-    def gains(self, answers: dict, total: float, distinct: float):
-        """(kind, sorted keys, this block's part of each context's divergence)."""
+    def divergences(self, answers: dict, total: float, distinct: float):
+        """(k, level, part of each position, contexts that may be kept, those that surely are), by level from 1.
+
+        Behind a context with one next symbol all parts are equal, so any block that sees
+        one knows their sum.
+        """
         for k, level, n, c in self.states(answers):
             if k == 0:
                 left = base(n, total, distinct)
@@ -167,13 +172,24 @@ class Block:
             suffix = left[level.at]
             with np.errstate(divide="ignore", invalid="ignore"):
                 own = (n - 1 + PRIOR * suffix) / (c - 1 + PRIOR)
-                gain = np.where(self.train[level.at], np.log(own / suffix), 0)
+                gain = np.log(own / suffix)
+                whole = np.where(n == c, c * gain, np.nan)
             left[level.at] = own
-            keys, which = self.levels[k - 1].keys, self.contexts(k, answers)
-            yield CONTEXT + k, keys[which], np.bincount(level.context, gain, len(keys))[which].astype(np.float32)
+            may, sure = self.contexts(k, answers), np.zeros(len(self.levels[k - 1].keys), bool)
+            may[level.context[whole <= MIN_GAIN]] = False
+            sure[level.context[whole > MIN_GAIN]] = True
+            yield k, level, gain, may, sure & may
+
+    def gains(self, answers: dict, total: float, distinct: float):
+        """(kind, sorted keys, this block's part of each context's divergence); one known to be kept has a mark that is enough alone."""
+        for k, level, gain, may, sure in self.divergences(answers, total, distinct):
+            parts = np.bincount(level.context, np.where(self.train[level.at], gain, 0), len(may))
+            parts[sure] = 2 * MIN_GAIN
+            yield CONTEXT + k, self.levels[k - 1].keys[may], parts[may].astype(np.float32)
 
     def scores(self, answers: dict, total: float, distinct: float):
         """By document: tokens, known tokens, base score, score."""
+        may = {k: m for k, _, _, m, _ in self.divergences(answers, total, distinct)}
         for k, level, n, c in self.states(answers):
             if k == 0:
                 known, p = n > 0, base(n, total, distinct)
@@ -181,7 +197,7 @@ class Block:
                 continue
             own = (n + PRIOR * p[level.at]) / (c + PRIOR)
             p[level.at] = own
-            kept = self.contexts(k, answers)
+            kept = may[k]
             kept[kept] = answers.get(CONTEXT + k, np.zeros(0)) > 0
             use = kept[level.context]
             best[level.at[use]] = own[use]
@@ -291,14 +307,14 @@ def _score_texts(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, held
 
     for k in range(1, depth + 1):
         levels = (0, 1) if k == 1 else (k,)
-        asked = blocks.mapInArrow(asking(lambda block, got: block.grow(max(levels), got).counts(levels)), X.PARTS)
+        asked = blocks.drop("docs").mapInArrow(asking(lambda block, got: block.grow(max(levels), got).counts(levels)), X.PARTS)
         counted = scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(add_counts, X.ANSWERS + ", total bigint, distinct bigint"))
         if k == 1:
             total, distinct = (int(x or 0) for x in counted.where("block IS NULL").agg(F.sum("total"), F.sum("distinct")).first())
         told = scratch.bucketed(with_answers(blocks, counted, learn, BLOCKS), "block", int(length >> 28))
         scratch.drop(blocks, counted)
         blocks = told
-    gains = blocks.mapInArrow(asking(lambda block, got: block.grow(depth, got).gains(got, total, distinct)), X.PARTS)
+    gains = blocks.drop("docs").mapInArrow(asking(lambda block, got: block.grow(depth, got).gains(got, total, distinct)), X.PARTS)
     kept = scratch.keep(gains.groupBy("kind", "bucket").applyInArrow(add_gains, X.ANSWERS))
     return scratch.keep(with_answers(blocks, kept, finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))
 
