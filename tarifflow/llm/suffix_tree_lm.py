@@ -39,7 +39,8 @@ from . import exchange as X
 from .scratch import Scratch
 from .text import crc_bucket, mix, slices, string_buffers, word_hashes
 
-BLOCK_TOKENS = 1_000_000
+#: A task holds about 350 bytes a token of the block that it is at.
+BLOCK_TOKENS = 500_000
 #: Words of the longest context.
 DEPTH = 4
 #: Two occurrences are the fewest that the divergence with one left out can test.
@@ -110,9 +111,9 @@ class Block:
         sizes = np.array(sizes, np.int64)
         self.first = np.cumsum(sizes) - sizes
         self.train = np.repeat(~np.array(held, bool), sizes)
-        self.before = np.arange(len(token)) - np.repeat(self.first, sizes)
+        self.before = (np.arange(len(token)) - np.repeat(self.first, sizes)).astype(np.int32)
         self.shift = np.uint64(64 - bits)
-        self.levels = [Level(np.arange(len(token)), np.zeros(0, np.int32), self.words, token)]
+        self.levels = [Level(np.arange(len(token), dtype=np.int32), np.zeros(0, np.int32), self.words, token)]
 
     def grow(self, depth: int, answers: dict) -> Block:
         """Levels for contexts of up to `depth` words; from two on they need the counts of the levels before."""
