@@ -155,6 +155,32 @@ def test_scores_are_those_of_the_whole_suffix_tree(spark, monkeypatch, depth):
     assert [got[k] for k in range(len(said))] == pytest.approx(want)
 
 
+def test_what_no_other_block_holds_is_not_sent():
+    """The word 9 is in this block alone, so of pairs only 5 70 is asked for; what isn't sent counts all the same."""
+    block = suffix_tree_lm.Block([4], [False], exchange.pack_sorted(np.array([5, 9, 70], np.uint64)), exchange.pack(np.array([0, 1, 0, 2], np.int32)), 48)
+    answers = {0: np.array([4, 1, 7], np.uint64), suffix_tree_lm.ALONE: np.array([False, True, False])}
+    ((_, keys, counts),) = block.grow(1, answers).counts((1,))
+    assert keys.tolist() == [block.levels[1].keys[block.levels[1].index[2]]] and counts.tolist() == [1]
+    _, (_, _, n, c) = block.states(answers | {1: np.array([3], np.uint64)})
+    assert n.tolist() == [1, 1, 3] and c.tolist() == [4, 1, 4]
+
+
+def test_divergences_go_with_the_counts_of_the_next_order(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_TOKENS", 400)
+    rng, sent, keep = random.Random(1), [], Scratch.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        if "kind" in df.columns:
+            sent.append({r["kind"] for r in out.select("kind").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    rows = [(k, " ".join(rng.choices("abcdefgh", [9, 5, 3, 2, 1, 1, 1, 1], k=30)), None, None, None) for k in range(60)]
+    suffix_tree_lm.score_texts(frame(spark, rows).repartition(3), Scratch(spark, "t"), depth=2)
+    assert sent == [{0}, {1}, {2, suffix_tree_lm.CONTEXT + 1}, {suffix_tree_lm.CONTEXT + 2}]
+
+
 def test_texts_that_occur_twice_score_apart(spark):
     rng = random.Random(3)
     said = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(60)) for _ in range(60)]
