@@ -124,3 +124,47 @@ def test_links_of_texts_without_an_id(spark, n):
 @pytest.mark.parametrize("n", [1, 5, 10, 24, 100])
 def test_prefix_meets_the_bound(n):
     assert n - ngram_join.prefix_size(n) < 0.8 * n
+
+
+def test_what_a_crowded_column_shares_alone_is_not_fetched(spark, monkeypatch):
+    """Texts of few common columns, which can't link by them, are told apart without their sets; their number may grow as a square otherwise."""
+    fetched, gather = [], ngram_join._Join.gather
+
+    def counted(self, wanted):
+        fetched.append(wanted.distinct().count())
+        return gather(self, wanted)
+
+    monkeypatch.setattr(ngram_join._Join, "gather", counted)
+    monkeypatch.setattr(ngram_join, "common_columns", lambda *_: np.zeros(0, np.uint32))
+    rng = random.Random(12)
+    shared = [words(rng, 7) for _ in range(2)]
+    docs = [(k, " ".join(sum(shared, words(rng, rng.randrange(90, 130), 10**6))), None) for k in range(300)]
+    docs += [(500, docs[7][1] + " end", None)]
+    got = check(spark, docs)
+    assert got[500] == (got[7][0] + 1, 7) and sum(fetched) < 60
+
+
+def test_tiles_in_turns(spark, monkeypatch):
+    """Chains in a crowd, whose tiles are compared a few at a time."""
+    monkeypatch.setattr(ngram_join, "_AT_ONCE", 0)
+    monkeypatch.setattr(ngram_join, "_AT_ONCE_BYTES", 60_000)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rng = random.Random(13)
+    text, docs = words(rng, 150), []
+    for k in range(70):
+        text = [w if rng.random() > 0.02 else f"z{rng.randrange(10**9)}" for w in text]
+        docs.append((k, " ".join(text), None))
+    check(spark, docs + [(200 + k, " ".join(words(rng, 50)), None) for k in range(10)])
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((0, 5, 0), (5, 9, 3), (130, 150, 120), (400, 400, 0), (1000, 1300, 900), (9000, 8000, 4000)):
+        grams = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        left, right = np.sort(grams[:n]), np.sort(grams[n - both :])
+        bound = int(ngram_join.most_common([ngram_join.sketch(left)], [ngram_join.sketch(right)])[0, 0])
+        assert both <= bound <= min(n, m)
+        if both == 0 and n > 100:
+            assert not ngram_join.links(bound, n, m)
+    full = np.arange(100_000, dtype=np.uint64) << np.uint64(40)
+    assert ngram_join.most_common([ngram_join.sketch(full)], [ngram_join.sketch(full[:90_000])])[0, 0] >= 90_000
