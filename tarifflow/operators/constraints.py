@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -80,25 +81,40 @@ def _first_of(rows: DataFrame, columns: tuple[str, ...], key: str, binding: Colu
     return found.withColumn("_again", binding & (F.coalesce("_taken", F.lit(False)) | (F.col(key) != F.col("_first")))).drop("_first", "_taken")
 
 
-def checked(rows: DataFrame, rules: Rules, parents: dict[str, DataFrame], keys: DataFrame, active: DataFrame | None = None) -> DataFrame:
+def checked(rows: DataFrame, rules: Rules, parents: dict[str, DataFrame], keys: DataFrame, active: DataFrame | None, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Filled rows with `violations`, empty for those that may be stored; `ordinal` tells equal rows apart.
 
     keys: what is stored of `rules.key`; active: of `rules.once`, where that binds. Only rows
     without another violation bind; of those that share something, the first by key does.
+
+    Values without a parent and hashes that occur more than once are found first, from those
+    columns alone, and stored by `written`. Where they are few, whole rows aren't dealt out,
+    but for those that may share something.
     """
     rows = rows.withColumn("violations", F.concat("violations", F.array_compact(F.array(*_own(rules), F.lit(None).cast("string")))))
+    nulls = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in rules.once), F.lit(True))
+    unique = [((rules.key,), F.lit(True), keys, f"{rules.key} again")]
+    if rules.once:
+        unique.append((rules.once, F.coalesce(F.expr(rules.where), F.lit(False)) & nulls, active, f"{', '.join(rules.once)} again"))
+    marked = rows
     for column, parent in parents.items():
-        there = parent.select(F.col(parent.columns[0]).alias(column)).distinct().withColumn("_there", F.lit(True))
-        missing = F.when(F.col(column).isNotNull() & F.col("_there").isNull(), f"{column} without a row")
-        rows = rows.join(there, column, "left").withColumn("violations", F.array_compact(F.concat("violations", F.array(missing)))).drop("_there")
+        there = parent.select(F.col(parent.columns[0]).alias(column))
+        lost = written(rows.select(column).where(F.col(column).isNotNull()).distinct().join(there, column, "left_anti"))
+        missing = F.when(F.col("_lost"), f"{column} without a row")
+        marked = marked.join(lost.withColumn("_lost", F.lit(True)), column, "left").withColumn("violations", F.array_compact(F.concat("violations", F.array(missing)))).drop("_lost")
+    marked = marked.withColumn("_shares", F.lit(False))
+    for columns, binding, there, _ in unique:
+        value = F.xxhash64(*columns).alias("_hash")
+        both = rows.where(binding).select(value).unionByName(there.select(value))
+        again = written(both.groupBy("_hash").count().where("count > 1").select("_hash", F.lit(True).alias("_held")))
+        marked = marked.withColumn("_hash", F.when(binding, value)).join(again, "_hash", "left").withColumn("_shares", F.col("_shares") | F.coalesce("_held", F.lit(False))).drop("_hash", "_held")
+    # all rows that share something with one of these are among them
+    some = marked.where("_shares").drop("_shares")
     # rows that repeat a key: the other columns decide which is the first
-    rows = rows.withColumn("_row", F.struct(rules.key, F.xxhash64(*[c for c in rows.columns if c not in ("violations", "ordinal")]).alias("rest"), "ordinal"))
+    some = some.withColumn("_row", F.struct(rules.key, F.xxhash64(*[c for c in rows.columns if c not in ("violations", "ordinal")]).alias("rest"), "ordinal"))
     fine = F.size("violations") == 0
-    unique = [((rules.key,), fine, keys, f"{rules.key} again")]
-    if rules.once:
-        nulls = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in rules.once))
-        unique.append((rules.once, fine & F.expr(rules.where) & nulls, active, f"{', '.join(rules.once)} again"))
     for columns, binding, there, name in unique:
-        rows = _first_of(rows, columns, "_row", binding, there)
-        rows = rows.withColumn("violations", F.when(F.col("_again"), F.array_append("violations", F.lit(name))).otherwise(F.col("violations"))).drop("_again")
-    return rows.drop("_row", "ordinal")
+        some = _first_of(some, columns, "_row", fine & binding, there)
+        some = some.withColumn("violations", F.when(F.col("_again"), F.array_append("violations", F.lit(name))).otherwise(F.col("violations"))).drop("_again")
+    some = written(some.drop("_row", "ordinal"))
+    return marked.where("NOT _shares").drop("_shares", "ordinal").unionByName(some)

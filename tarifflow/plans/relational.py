@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import store
 from ..operators.constraints import RULES, checked, filled
 from ..schema import STORED, conform
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from ..sources.snapshots import BUCKETS, Conflict, Table
 
 TRIES = 10
@@ -62,26 +62,24 @@ def insert(target: Store, name: str, rows: DataFrame, tries: int = TRIES) -> int
     spark, rules, table = target.spark, RULES[name], target.table(name)
     # written once, so that ids and times made here are the same in every try
     draft = new_folder(spark, f"draft-{name}")
-    filled(rows, STORED[name], rules).withColumn("ordinal", F.monotonically_increasing_id()).write.parquet(draft)
-    batch = spark.read.parquet(draft)
+    batch = written(filled(rows, STORED[name], rules).withColumn("ordinal", F.monotonically_increasing_id()), draft)
 
     def write() -> int:
         base = table.version()
         there = table.read(base)
         active = table.read(base, _touched(table, batch)).where(rules.where).select(*rules.once) if rules.once else None
         parents = {c: target.read(p).select(RULES[p].key) for c, p in rules.parents.items()}
-        result = new_folder(spark, f"checked-{name}")
+        found = new_folder(spark, f"checked-{name}")
         refused = f"{target.path}/rejects/{name}/{uuid.uuid4().hex}"
-        checked(batch, rules, parents, there.select(rules.key), active).write.parquet(result)
-        verdict = spark.read.parquet(result)
-        verdict.where("size(violations) > 0").write.parquet(refused)
         try:
+            verdict = checked(batch, rules, parents, there.select(rules.key), active, lambda df: written(df, f"{found}/{uuid.uuid4().hex}"))
+            written(verdict.where("size(violations) > 0"), refused)
             return table.append(base, verdict.where("size(violations) = 0").drop("violations"))
         except BaseException:
             _delete(spark, refused)
             raise
         finally:
-            _delete(spark, result)
+            _delete(spark, found)
 
     try:
         return _until_first(tries, write)

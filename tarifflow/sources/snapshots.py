@@ -19,6 +19,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shuffle_files_go
+
 BUCKETS = 16
 
 
@@ -83,8 +85,9 @@ class Table:
     def stage(self, rows: DataFrame) -> Part:
         """Write rows that count once a version names them."""
         write = uuid.uuid4().hex
-        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket", *self.key)
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
+        # each task writes to all buckets, so rows needn't be dealt out first
+        with shuffle_files_go(self.spark):
+            rows.withColumn("bucket", self.bucket()).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{write}")
         # as many values as there are buckets at most
         found = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/data/{write}").select("bucket").distinct().collect()
         return Part(write, tuple(sorted(r[0] for r in found)))
@@ -113,8 +116,12 @@ class Table:
 
     def replace(self, base: int, rows: DataFrame, buckets: list[int]) -> int:
         """Rows in place of all that these buckets held."""
+        return self.swap(base, [self.stage(rows)], buckets)
+
+    def swap(self, base: int, staged: list[Part], buckets: list[int]) -> int:
+        """Staged rows in place of all that these buckets held."""
         kept = [Part(p.write, tuple(b for b in p.buckets if b not in buckets)) for p in self.parts(base)]
-        return self.commit(base, [*kept, self.stage(rows)])
+        return self.commit(base, [*kept, *staged])
 
     def compact(self, base: int) -> int:
         """The same rows in one write."""

@@ -182,3 +182,17 @@ def test_rules_name_columns_that_there_are():
     for name, rules in constraints.RULES.items():
         columns = {c for c, _ in constraints._fields(relational.STORED[name])}
         assert {rules.key, *rules.required, *rules.defaults, *rules.accepted, *rules.longest, *rules.parents, *rules.once} <= columns
+
+
+def left_on_disk(spark):
+    """Bytes of shuffle files of this session."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
+def test_an_insert_leaves_no_rows_on_local_disks(spark, target):
+    rng, before = random.Random(3), left_on_disk(spark)
+    rows = [(str(k), "d1", "p1", f"{k} {rng.getrandbits(6000):x}", "1", "KZT", DAY, True) for k in range(2000)]
+    relational.insert(target, "price_item", spark.createDataFrame(rows, ITEM))
+    assert target.read("price_item").count() == 2000
+    assert left_on_disk(spark) - before < 500_000
