@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..operators import store
 from ..operators.constraints import RULES, checked, filled
 from ..schema import STORED, conform
-from ..sources.shared import new_folder, written
+from ..sources.shared import new_folder, shuffle_files_go, written
 from ..sources.snapshots import BUCKETS, Conflict, Table
 
 TRIES = 10
+#: Rows that decisions are joined to at a time.
+AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -117,13 +119,20 @@ def set_match(target: Store, decisions: DataFrame, tries: int = TRIES) -> int:
 
     Decisions for items or services that aren't there change nothing.
     """
-    table = target.table("price_item")
+    spark, table = target.spark, target.table("price_item")
 
     def write() -> int:
         base = table.version()
-        known = decisions.join(target.read("service").select("service_id"), "service_id", "left_semi").dropDuplicates(["item_id"])
-        touched = _touched(table, table.read(base).join(known, "item_id", "left_semi"))
-        return table.replace(base, conform(store.set_match(table.read(base, touched), known), table.schema), touched)
+        path = new_folder(spark, "decisions")
+        try:
+            known = written(decisions.join(target.read("service").select("service_id"), "service_id", "left_semi").dropDuplicates(["item_id"]), path)
+            with shuffle_files_go(spark):
+                touched = sorted(_touched(table, table.read(base).join(known, "item_id", "left_semi")))
+            groups = min(len(touched), -(-table.read(base, touched).count() // AT_ONCE))
+            staged = [table.stage(conform(store.set_match(table.read(base, own), known), table.schema)) for own in (touched[k::groups] for k in range(groups))]
+            return table.swap(base, staged, touched)
+        finally:
+            _delete(spark, path)
 
     return _until_first(tries, write)
 

@@ -196,3 +196,12 @@ def test_an_insert_leaves_no_rows_on_local_disks(spark, target):
     relational.insert(target, "price_item", spark.createDataFrame(rows, ITEM))
     assert target.read("price_item").count() == 2000
     assert left_on_disk(spark) - before < 500_000
+
+
+def test_decisions_in_turns(spark, target, monkeypatch):
+    monkeypatch.setattr(relational, "AT_ONCE", 15)
+    rows = [(str(k), "d1", "p1", f"n{k}", "1", "KZT", DAY, True) for k in range(40)]
+    relational.insert(target, "price_item", spark.createDataFrame(rows, ITEM))
+    relational.set_match(target, spark.createDataFrame([(str(k), "s1", 0.9) for k in range(0, 40, 2)], "item_id string, service_id string, match_confidence double"))
+    assert {(r["item_id"], r["service_id"]) for r in target.read("price_item").collect()} == {(str(k), None if k % 2 else "s1") for k in range(40)}
+    assert target.read("price_item").count() == 40 and len(target.table("price_item").parts(2)) > 1
