@@ -83,3 +83,15 @@ def test_a_bar_below_the_index(spark, index):
 def test_an_empty_index(spark, tmp_path):
     trigram_index.build(spark.createDataFrame([], NAMED), str(tmp_path / "i"))
     assert trigram_index.search(spark, str(tmp_path / "i"), spark.createDataFrame([("a",)], "text string")).count() == 0
+
+
+def test_many_texts_near_many_names(spark, tmp_path, monkeypatch):
+    """In small parts and products; no pair has its similarity computed by itself."""
+    for name, value in (("PART", 40), ("GROUPS", 3), ("AT_ONCE", 7)):
+        monkeypatch.setattr(trigram_index, name, value)
+    monkeypatch.setattr(trigram_index.S, "search_similarity", None)
+    held, texts = [f"Supplier#{k:06d}" for k in range(0, 900, 3)], [f"partner Supplier#{k:06d}" for k in range(0, 900, 7)]
+    trigram_index.build(spark.createDataFrame([("partner", n[-3:], n) for n in held], NAMED), str(tmp_path / "i"))
+    got = {(r["text"], r["name"]): r["similarity"] for r in trigram_index.search(spark, str(tmp_path / "i"), spark.createDataFrame([(t,) for t in texts], "text string"), 0.5).collect()}
+    shares = {(t, n): len(trigrams(t) & trigrams(n)) / len(trigrams(t) | trigrams(n)) for t in texts for n in held}
+    assert got == {k: v for k, v in shares.items() if v >= 0.5} != {}
