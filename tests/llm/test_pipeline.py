@@ -92,3 +92,28 @@ def test_unlabelled_corpus_is_kept(spark):
     rows = [(1, "the garden of the old house", None, "a", 10), (2, "12 !", None, "a", 4), (3, None, None, "a", None), (None, "é", None, "a", 1)]
     got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCUMENTS), DATA).collect()
     assert {r["doc_id"] for r in got} == {1, None}
+
+
+def test_near_duplicates_fetch_few_sets(spark, monkeypatch):
+    """Texts that share a crowded passage, which can't make them near, stay, and their sets aren't sent."""
+    import random
+
+    import numpy as np
+
+    from tarifflow.llm import ngram_join
+
+    fetched, gather = [], ngram_join._Join.gather
+
+    def counted(self, wanted):
+        fetched.append(wanted.distinct().count())
+        return gather(self, wanted)
+
+    monkeypatch.setattr(ngram_join._Join, "gather", counted)
+    monkeypatch.setattr(ngram_join, "common_columns", lambda *_: np.zeros(0, np.uint32))
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(14)
+    texts = [" ".join(words(rng.randrange(90, 130)) + passage) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, texts[7] + " end")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {*range(300)}
+    assert sum(fetched) < 60
